@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import gather, own_columns, runs, utf8
-from quillon.llm.pieces import PieceCache, byte_level_pieces, literal
+from quillon.llm.pieces import PieceCache, byte_alphabet, byte_level_pieces
 
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: How byte-level BPE cuts a text into words (a fixed value of the format).
@@ -30,13 +30,6 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SLICE = 4 << 20
 
 
-def byte_alphabet() -> dict[str, int]:
-    """The printable stand-in of each byte in byte-level vocabularies."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
-
-
 class NumpyBpe:
     """A byte-level BPE vocabulary with batched encoding and decoding."""
 
@@ -62,7 +55,7 @@ class NumpyBpe:
         self.token_start = np.cumsum(self.token_size) - self.token_size
         self.words = regex.compile(PATTERN)
         self.cut_special = regex.compile("|".join(map(regex.escape, sorted((s.decode() for s in self.special), key=len, reverse=True)))) if self.special else None
-        self.cache = PieceCache(self.encode_pieces)
+        self.cache = PieceCache(self.encode_pieces, byte_level_pieces)
 
     def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -125,7 +118,7 @@ class NumpyBpe:
         marks = list(self.special)
         for p in pieces:
             row: list[int] = []
-            text, last = literal(p), 0
+            text, last = p.decode("utf-8"), 0
             if any(s in p for s in marks):
                 for m in self.cut_special.finditer(text):
                     add(text[last : m.start()], row)
@@ -139,7 +132,7 @@ class NumpyBpe:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, ids per text)."""
-        return self.cache.encode([byte_level_pieces(t) for t in texts])
+        return self.cache.encode(texts)
 
     def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         """UTF-8 of each text; bytes that are no UTF-8 become U+FFFD."""

@@ -8,6 +8,7 @@ emptied when it is full, so memory stays bounded for any vocabulary.
 from __future__ import annotations
 
 import gc
+import hashlib
 import os
 import re
 from itertools import chain
@@ -24,72 +25,94 @@ def token_type(size: int):
     return np.uint16 if size <= 1 << 16 else np.uint32
 
 
-class _Numbered(dict):
-    """Numbers pieces as they are first asked for."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, piece: bytes) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
-
-
 class PieceCache:
-    """Ids of byte-string pieces; ``encode_new(list[bytes]) -> list of ids``."""
+    """Ids of pieces; ``encode_new(list[bytes]) -> list of ids``.
+
+    ``cut(text)`` gives the pieces of any text. Plain texts, in which every
+    piece starts at a mark, a space or a line, are cut and looked up with
+    numpy, by 64-bit hashes of their pieces; with ``fold`` in lower case.
+    """
 
-    def __init__(self, encode_new, limit: int = CACHE_PIECES):
-        self.encode_new, self.limit = encode_new, limit
+    def __init__(self, encode_new, cut, fold: bool = False, limit: int = CACHE_PIECES):
+        self.encode_new, self.cut, self.fold, self.limit = encode_new, cut, fold, limit
         self.clear()
 
     def clear(self):
-        self.index = _Numbered()
+        self.index: dict[int, int] = {}
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.used = self.count = 0
 
-    def _add(self) -> None:
-        new, self.index.new = self.index.new, []
+    def _add(self, new: list[bytes]) -> np.ndarray:
+        """Numbers of new pieces, whose ids are kept from now on."""
         gc.disable()  # many short lists, no cycles
         try:
             ids = self.encode_new(new)
-        except BaseException:
-            self.clear()
-            raise
         finally:
             gc.enable()
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        last, total = len(self.index), int(sizes.sum())
-        while len(self.starts) < last:
+        first, total = self.count, int(sizes.sum())
+        while len(self.starts) < first + len(new):
             self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, self.flat])
-        at = slice(last - len(new), last)
+        at = slice(first, first + len(new))
         self.starts[at], self.lengths[at] = self.used + np.cumsum(sizes) - sizes, sizes
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.used += total
-
-    def encode(self, documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, ids per document) of documents given as their pieces."""
-        if len(self.index) > self.limit:
+        self.used, self.count = self.used + total, first + len(new)
+        return np.arange(first, first + len(new))
+
+    def _numbers(self, data: bytes, starts: np.ndarray) -> np.ndarray:
+        """The number of each piece of data; pieces begin at starts."""
+        ends = np.append(starts[1:], len(data))
+        keys, first, inverse = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        found = np.fromiter((self.index.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        if len(missing := np.flatnonzero(found < 0)):
+            lo, hi = starts[first[missing]].tolist(), ends[first[missing]].tolist()
+            found[missing] = self._add([data[x:y] for x, y in zip(lo, hi, strict=True)])
+            self.index.update(zip(keys[missing].tolist(), found[missing].tolist(), strict=True))
+        return found[inverse]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, ids per text)."""
+        if self.count > self.limit:
             self.clear()
-        edges = np.cumsum([0, *map(len, documents)])
-        where = np.fromiter(map(self.index.__getitem__, chain.from_iterable(documents)), np.int64, int(edges[-1]))
-        if self.index.new:
-            self._add()
-        sizes = self.lengths[where]
-        ids = gather(self.flat, self.starts[where], sizes)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, total[edges[1:]] - total[edges[:-1]]
-
-
-#: Starts a piece that is meant as it stands; others lack the space before them. No UTF-8 holds this byte.
-LITERAL = b"\xff"
-
-
-def literal(piece: bytes) -> str:
-    """The text that a piece of ``byte_level_pieces`` stands for."""
-    return piece[1:].decode("utf-8") if piece[:1] == LITERAL else " " + piece.decode("utf-8")
+        plain = [is_plain(t) for t in texts]
+        parts = [[t.lower() if self.fold else t] if ok else self.cut(t) for t, ok in zip(texts, plain, strict=True)]
+        data = b"".join(chain.from_iterable(parts))
+        if not data:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        lengths = np.fromiter(map(len, chain.from_iterable(parts)), np.int64)
+        pieces = np.fromiter(map(len, parts), np.int64, len(parts))
+        where = np.cumsum(lengths) - lengths
+        free = np.repeat(np.array(plain), pieces)  # parts that are whole plain texts
+        raw = np.frombuffer(data, np.uint8)
+        border = STARTS[raw]
+        border[1:] |= raw[:-1] == 10
+        border &= np.repeat(free, lengths)
+        border[where[lengths > 0]] = True
+        starts = np.flatnonzero(border)
+        numbers = self._numbers(data, starts)
+        sizes = self.lengths[numbers]
+        ids = gather(self.flat, self.starts[numbers], sizes)
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        text_end = np.cumsum([0, *(sum(map(len, p)) for p in parts)])
+        edge = sums[np.searchsorted(starts, text_end)]
+        return ids, np.diff(edge)
+
+
+_RANDOM = np.random.default_rng(20240)
+_BYTE_HASH = _RANDOM.integers(0, 1 << 63, 256, np.uint64) << np.uint64(1) | np.uint64(1)
+_PLACE_HASH = _RANDOM.integers(0, 1 << 63, 1 << 12, np.uint64) << np.uint64(1) | np.uint64(1)
+
+
+def piece_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end]; long pieces by a digest."""
+    sizes = ends - starts
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    out = np.add.reduceat(_BYTE_HASH[np.frombuffer(data, np.uint8)] * _PLACE_HASH[place & 4095], starts) + sizes.astype(np.uint64)
+    for k in np.flatnonzero(sizes > 4096):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
 
 
 #: White space beside which the fast cut isn't sure: other controls, and the first bytes of Unicode spaces.
@@ -98,6 +121,18 @@ WIDE = (b"\xc2\xa0", b"\xc2\x85", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f",
 RUNS = re.compile(r"\s*\S+|\s+")
 
 
+#: Letters, digits, '.', ',', space, line end, and the bytes of U+0080 to U+00FF.
+SIMPLE = bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + b".,\n \xc3" + bytes(range(0x80, 0xC0))
+BESIDE = (b"  ", b"\n\n", b"\n \n", b"..", b".,", b",.", b",,", b" .", b" ,", b"\n.", b"\n,", b"\xc3\x97", b"\xc3\xb7")
+#: Bytes at which a piece of a plain text starts.
+STARTS = np.isin(np.arange(256), list(b" .,\n"))
+
+
+def is_plain(text: bytes) -> bool:
+    """Whether spaces, line ends, and each '.' and ',' (which must follow a letter or digit) are borders of tokens."""
+    return not (text.translate(None, SIMPLE) or text[:1] in (b".", b",") or any(x in text for x in BESIDE))
+
+
 def byte_level_pieces(text: bytes) -> list[bytes]:
     """Pieces for byte-level BPE, which binds a space to the word behind it.
 
@@ -110,11 +145,10 @@ def byte_level_pieces(text: bytes) -> list[bytes]:
         return []
     if b"  " in text or b"\n \n" in text or len(text.translate(None, CONTROLS)) < len(text) or any(x in text for x in WIDE):
         if len(text.translate(None, CONTROLS[4:])) < len(text):
-            return [LITERAL + text]
-        return [LITERAL + x.encode() for x in RUNS.findall(text.decode("utf-8"))]
-    parts = text.split(b" ")
-    parts[0] = LITERAL + parts[0]
-    return parts
+            return [text]
+        return [x.encode() for x in RUNS.findall(text.decode("utf-8"))]
+    first, *rest = text.split(b" ")
+    return [first, *[b" " + x for x in rest]] if first else [b" " + x for x in rest]
 
 
 def library_tokenizer(path: str):
@@ -127,27 +161,46 @@ def library_tokenizer(path: str):
     return t
 
 
-_CACHES: dict[tuple, PieceCache] = {}
-
-
-def library_cache(path: str, kind: str) -> PieceCache:
-    """This worker's cache of the library tokenizer in the file ``path``."""
-    if (path, kind) not in _CACHES:
-        t, text = library_tokenizer(path), literal if kind == "byte" else bytes.decode
-
-        def encode(new):
-            return [e.ids for k in range(0, len(new), 20_000) for e in t.encode_batch_fast(list(map(text, new[k : k + 20_000])), add_special_tokens=False)]
-
-        _CACHES[path, kind] = PieceCache(encode)
-    return _CACHES[path, kind]
+def byte_alphabet() -> dict[str, int]:
+    """The printable stand-in of each byte in byte-level vocabularies."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+def library_encoder(path: str, kind: str):
+    """Ids of pieces by the library: a piece that is one word goes to its BPE model, others through all of its steps."""
+    t = library_tokenizer(path)
+    model, stand_in = t.model, {b: c for c, b in byte_alphabet().items()}
+    space = stand_in[32] if kind == "byte" else ""
+
+    def encode(new: list[bytes]) -> list:
+        out: list = [None] * len(new)
+        rest = []
+        for i, piece in enumerate(new):
+            text = piece.decode("utf-8")
+            word = text[1:] if text[:1] == " " else text
+            if word.isalpha() and (word.isascii() or max(word) <= "\xff"):
+                word = word if kind == "byte" else word.lower()
+                if not word.isascii():
+                    word = word.encode().decode("latin-1").translate(stand_in)
+                out[i] = [x.id for x in model.tokenize(space + word if text[:1] == " " else word)]
+            else:
+                rest.append(i)
+        for k in range(0, len(rest), 20_000):
+            part = rest[k : k + 20_000]
+            for i, e in zip(part, t.encode_batch_fast([new[i].decode("utf-8") for i in part], add_special_tokens=False), strict=True):
+                out[i] = e.ids
+        return out
+
+    return encode
 
 
-def word_pieces(text: bytes) -> list[bytes]:
-    """Pieces for vocabularies that drop white space and fold case; '<|' may begin a special string, which isn't folded."""
-    return (text if b"<|" in text else text.lower()).split()
+_CACHES: dict[tuple, PieceCache] = {}
 
 
 def encode_texts(texts: list[bytes], path: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids by the library; kind 'byte' (byte-level) or 'word' (white space dropped, case folded)."""
-    cut = byte_level_pieces if kind == "byte" else word_pieces
-    return library_cache(path, kind).encode([cut(t) for t in texts])
+    """(all ids, ids per text) by the library; kind 'byte' (byte-level) or 'word' (white space dropped, case folded)."""
+    if (path, kind) not in _CACHES:
+        _CACHES[path, kind] = PieceCache(library_encoder(path, kind), byte_level_pieces if kind == "byte" else bytes.split, kind == "word")
+    return _CACHES[path, kind].encode(texts)
