@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, media, packing, quality_rules, token_files
+from quillon.llm import bpe, langid, media, minhash, packing, quality_classifier, quality_rules, token_files, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -28,6 +28,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.adaptive_quality(documents(spark, sf_dir))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.document_media(documents(spark, sf_dir))
 
@@ -36,6 +44,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -45,7 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op4_media_columns, op5_bpe, op8_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op3_quality_classifier, op4_media_columns, op5_bpe, op6_toxicity, op7_language, op8_token_files, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -28,6 +28,17 @@ def spans(texts: list[bytes], word_bytes: np.ndarray = WORD_BYTES) -> tuple[byte
     return data, starts, ends, np.diff(upto, prepend=0)
 
 
+def word_keys(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word data[start:end]."""
+    raw = np.frombuffer(data, np.uint8)
+    place = np.arange(len(raw)) - np.repeat(np.append(0, starts), np.diff(np.r_[0, starts, len(raw)]))
+    inside = np.zeros(len(raw) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    term = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, _BYTE_HASH[raw] * (_PLACE_HASH[place & 4095] + (place >> 12).astype(np.uint64)), 0)
+    return np.add.reduceat(term, starts) + (ends - starts).astype(np.uint64)
+
+
 class WordTable:
     """``compute(list[bytes]) -> array (n, k)`` for distinct words, kept by 64-bit hash."""
 
@@ -45,13 +56,7 @@ class WordTable:
             self.clear()
         if not len(starts):
             return np.zeros((0, self.width), np.float32)
-        raw = np.frombuffer(data, np.uint8)
-        place = np.arange(len(raw)) - np.repeat(np.append(0, starts), np.diff(np.r_[0, starts, len(raw)]))
-        inside = np.zeros(len(raw) + 1, np.int8)
-        inside[starts] += 1
-        inside[ends] -= 1
-        term = np.where(np.cumsum(inside[:-1], dtype=np.int8) > 0, _BYTE_HASH[raw] * (_PLACE_HASH[place & 4095] + (place >> 12).astype(np.uint64)), 0)
-        key = np.add.reduceat(term, starts) + (ends - starts).astype(np.uint64)
+        key = word_keys(data, starts, ends)
         keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         found = np.fromiter((self.index.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
         if len(missing := np.flatnonzero(found < 0)):
