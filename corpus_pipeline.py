@@ -1,11 +1,54 @@
-"""The corpus pipeline (stages follow as their operators land)."""
+"""The corpus pipeline: toxicity, quality, near-duplicates, repeated passages, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before
+it kept. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.llm import minhash, packing, quality_classifier, suffix_dedup, toxicity
+from quillon.llm.common import stored
+from quillon.llm.queries import documents, labels, vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, labels(spark, sf_dir))
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_classifier.only_good(docs, labels(spark, sf_dir))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.one_of_each(docs)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_classifier", drop_poor),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_dedup", drop_repeated_passages),
+    ("packing", pack),
+]
+#: SQL can't express the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to documents, each written and read again."""
+    docs = documents(spark, sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs, f"pipeline-{name}")
     return docs

@@ -253,6 +253,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     return table.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """docs with the row of least doc_id of each class; rows without doc_id stay."""
+    keep = cut(near_duplicates(docs, similarity).where("doc_id = class_id").select("doc_id").distinct())
+    some = docs.where(F.col("doc_id").isNotNull())
+    if _repeats(docs):  # of the rows of one doc_id the least
+        names = ["text", *[c for c in docs.columns if c != "text"]]
+        some = some.groupBy("doc_id").agg(F.min(F.struct(*names)).alias("r")).select("r.*").select(*docs.columns)
+    return some.join(keep, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
 def _repeats(table: DataFrame) -> bool:
     """Whether a doc_id stands in several rows."""
     return table.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count() > 0

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import bpe, langid, media, minhash, packing, quality_classifier, quality_rules, token_files, toxicity
+from quillon.llm import bpe, langid, media, minhash, packing, quality_classifier, quality_rules, suffix_dedup, token_files, toxicity
 
 
 def vocabulary(name: str) -> str:
@@ -56,12 +56,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op3_quality_classifier, op4_media_columns, op5_bpe, op6_toxicity, op7_language, op8_token_files, op10_packing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_minhash, op3_quality_classifier, op4_media_columns, op5_bpe, op6_toxicity, op7_language, op8_token_files, op9_suffix_dedup, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -212,3 +212,18 @@ def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) ->
     few = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     few = few.withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False)))
     return score_column(few, model, OUT, step)
+
+
+def kept_rows(docs: DataFrame, model, keep) -> DataFrame:
+    """The rows of docs, with all columns, whose text passes ``keep(texts, model) -> mask``; no shuffle."""
+
+    def step(batches, m):
+        for b in batches:
+            yield b.filter(pa.array(keep(utf8(b.column("text")), m)))
+
+    return score_column(docs, model, docs.schema, step)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows that score THRESHOLD or more."""
+    return kept_rows(docs, train(docs, labels), lambda texts, m: m.scores(texts) < THRESHOLD if m else np.ones(len(texts), bool))
