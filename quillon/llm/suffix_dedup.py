@@ -38,13 +38,12 @@ from quillon.llm.pieces import _BYTE_HASH
 
 LENGTH, GRAM = 50, 24
 SPREAD = LENGTH - GRAM + 1
-#: Bytes of text to a chunk, and fingerprints to a bucket.
-CHUNK, BUCKET = 2 << 20, 1 << 21
+#: Bytes of text to a chunk; fingerprints to a bucket where they meet, and where their surroundings meet.
+CHUNK, PRINT_BUCKET, CONTEXT_BUCKET = 2 << 20, 1 << 21, 1 << 19
 #: Period of the difference cover.
 V = 32
-PRINT_MASK = np.uint64((1 << 48) - 1)
 LAST_ID = np.iinfo(np.int64).max
-CHUNKS = "chunk long, doc_ids array<long>, sizes array<int>, texts binary, rest binary, prints binary, n_prints long"
+CHUNKS = "chunk long, doc_ids array<long>, sizes array<int>, digests array<binary>, texts binary, rest binary, prints binary, n_prints long"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -80,8 +79,12 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return mix(g)
 
 
-def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(place, first window, last window, fingerprint) of each anchor of the texts in data."""
+def anchors(data: np.ndarray, sizes: np.ndarray, bits: int = 62) -> tuple[np.ndarray, ...]:
+    """(place, first window, last window, fingerprint) of each anchor of the texts in data.
+
+    Fingerprints that are equal by chance only make more candidates, so they
+    have few bits.
+    """
     none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, np.uint64),)
     if len(data) < LENGTH:
         return none
@@ -106,7 +109,7 @@ def anchors(data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.r_[True, winner[1:] != winner[:-1]])
     last = np.r_[first[1:], len(winner)] - 1
     place = winner[first]
-    return place, window[first], window[last], g[place] & PRINT_MASK
+    return place, window[first], window[last], g[place] & np.uint64((1 << bits) - 1)
 
 
 # -- suffix sorting -------------------------------------------------------
@@ -144,17 +147,17 @@ class CoverSample:
     """Ranks of the suffixes that start at places of a difference cover modulo V.
 
     text must end in V zeros at least and be shorter than 2 ** 31. The ranks
-    compare the first ``depth`` bytes at least.
+    compare the first ``depth`` bytes at least; places that aren't ``used``
+    are padding and share the least rank.
     """
 
-    def __init__(self, text: np.ndarray, depth: int):
+    def __init__(self, text: np.ndarray, depth: int, used: np.ndarray):
         self.cover = difference_cover(V)
         inside = np.zeros(V, bool)
         inside[self.cover] = True
         self.step = np.array([next(d for d in range(V) if inside[(r + d) % V]) for r in range(V)])
-        end = len(text) - V - 8
-        at = np.flatnonzero(inside[np.arange(max(0, end)) % V])
-        self.where = np.full(len(text), -1, np.int64)
+        at = np.flatnonzero(np.resize(inside, len(text)) & used)
+        self.where = np.full(len(text), -1, np.int32)
         rank = dense_ranks(words_at(text, at, V // 8)) if len(at) else np.zeros(0, np.int64)
         self.where[at] = rank
         reach = V
@@ -181,37 +184,45 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, sample: CoverSample) ->
     return order, np.cumsum(new)
 
 
-def repeated_windows(contexts: list[tuple[bytes, int]], owner: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-    """Least doc_id of each window of each context.
+def repeated_windows(contexts: list[tuple[bytes, int]], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(least doc_id of each window of each context, first window of each context).
 
     contexts: distinct (bytes, distance from the first window to the anchor);
-    owner: context of each occurrence, doc its doc_id.
+    least: the least doc_id that holds the context.
     """
-    least = np.full(len(contexts), LAST_ID, np.int64)
-    np.minimum.at(least, owner, doc)
-    # every anchor stands at a multiple of V, zeros lie between contexts
     sizes = np.array([len(c) for c, _ in contexts])
-    before = np.array([o for _, o in contexts])
+    windows = sizes - LENGTH + 1
+    slot = np.cumsum(windows) - windows
+    out = np.repeat(least, windows)
+    # a context that alone has the bytes of its anchor shares no window
+    grams: dict[bytes, int] = {}
+    gram = np.fromiter((grams.setdefault(c[o : o + GRAM], len(grams)) for c, o in contexts), np.int64, len(contexts))
+    sort = np.flatnonzero(np.bincount(gram)[gram] > 1)
+    if not len(sort):
+        return out, slot
+    before = np.array([contexts[k][1] for k in sort.tolist()])
+    size, base_slot = sizes[sort], slot[sort]
+    # every anchor stands at a multiple of V, zeros lie between contexts
     lead = -(-before // V) * V
-    room = -(-(lead - before + sizes + V + 1) // V) * V
+    room = -(-(lead - before + size + V + 1) // V) * V
     base = np.cumsum(room) - room + lead - before
     text = np.zeros(int(room.sum()) + 2 * V + LENGTH, np.uint8)
-    flat = np.frombuffer(b"".join(c for c, _ in contexts), np.uint8)
-    ends = np.cumsum(sizes)
-    text[np.repeat(base - (ends - sizes), sizes) + np.arange(len(flat))] = flat
-    sample = CoverSample(text, 2 * LENGTH)
-    windows = sizes - LENGTH + 1
-    out = np.full(int(windows.sum()), LAST_ID, np.int64)
-    slot = np.cumsum(windows) - windows
+    used = np.zeros(len(text), bool)
+    flat = np.frombuffer(b"".join(contexts[k][0] for k in sort.tolist()), np.uint8)
+    ends = np.cumsum(size)
+    place = np.repeat(base - (ends - size), size) + np.arange(len(flat))
+    text[place], used[place] = flat, True
+    sample = CoverSample(text, LENGTH, used)
     reach = before[:, None] - np.arange(SPREAD)[None, :]  # distance of each window to its anchor
-    live = np.arange(SPREAD)[None, :] < windows[:, None]
-    for distance in np.unique(reach[live]):
-        context, offset = np.nonzero(live & (reach == distance))
-        order, group = suffix_classes(text, base[context] + offset, sample)
-        first = np.full(int(group[-1]) + 1, LAST_ID, np.int64)
-        np.minimum.at(first, group, least[context[order]])
-        out[slot[context[order]] + offset[order]] = first[group]
-    return np.split(out, slot[1:])
+    reach[np.arange(SPREAD)[None, :] >= windows[sort][:, None]] = -1
+    for distance in range(int(reach.max()) + 1):
+        context, offset = np.nonzero(reach == distance)
+        if len(context):
+            order, group = suffix_classes(text, base[context] + offset, sample)
+            first = np.full(int(group[-1]) + 1, LAST_ID, np.int64)
+            np.minimum.at(first, group, least[sort][context[order]])
+            out[base_slot[context[order]] + offset[order]] = first[group]
+    return out, slot
 
 
 # -- the operator ---------------------------------------------------------
@@ -227,7 +238,7 @@ def _ipc(rows: pa.RecordBatch) -> bytes:
     return squeeze(sink.getvalue().to_pybytes())
 
 
-def _chunks(batches):
+def _chunks(batches, bits: int):
     from pyspark import TaskContext
 
     number = TaskContext.get().partitionId() << 32
@@ -236,12 +247,12 @@ def _chunks(batches):
         for lo, hi in runs([len(x) for x in texts], CHUNK):
             whole = b"".join(texts[lo:hi])
             sizes = np.array([len(x) for x in texts[lo:hi]])
-            _, _, _, prints = anchors(np.frombuffer(whole, np.uint8), sizes)
+            _, _, _, prints = anchors(np.frombuffer(whole, np.uint8), sizes, bits)
             kinds, count = np.unique(prints, return_counts=True)
             # the lowest bit tells whether the chunk alone holds it more than once
             packed = pack_sorted(kinds << np.uint64(1) | (count > 1).astype(np.uint64))
-            values = [[number], [ids[lo:hi]], [sizes.tolist()], [squeeze(whole)], [_ipc(b.slice(lo, hi - lo)) if b.num_columns > 2 else None], [packed], [len(kinds)]]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=[x.split()[0] for x in CHUNKS.split(", ")])
+            values = [[number], [ids[lo:hi]], [sizes.tolist()], [[hashlib.sha256(x).digest() for x in texts[lo:hi]]], [squeeze(whole)], [_ipc(b.slice(lo, hi - lo)) if b.num_columns > 2 else None], [packed], [len(kinds)]]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.binary()), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=[x.split()[0] for x in CHUNKS.split(", ")])
             number += 1
 
 
@@ -277,11 +288,19 @@ def shared_prints(chunks: DataFrame, buckets: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(meet, "chunk long, shared binary")
 
 
+def copies(chunks: DataFrame) -> DataFrame:
+    """(chunk, gone): the rows of each chunk that are copies of a document with a smaller doc_id."""
+    each = chunks.select("chunk", F.posexplode(F.arrays_zip("digests", "doc_ids", "sizes")).alias("row", "r")).where(F.col("r.sizes") >= LENGTH)
+    each = each.select("chunk", "row", F.col("r.digests").alias("digest"), F.col("r.doc_ids").alias("doc"))
+    least = cut(each.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most"))
+    return each.join(least, "digest").where("doc > least").groupBy("chunk").agg(F.collect_list("row").alias("gone"))
+
+
 CONTEXT = np.dtype([("doc", "<i8"), ("row", "<i4"), ("lo", "<i4"), ("before", "<i2"), ("size", "<i2")])
 SPAN = np.dtype([("row", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
 
 
-def contexts(chunks: DataFrame, buckets: int) -> DataFrame:
+def contexts(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
     """(bucket, chunk, part, spans): the surroundings of shared anchors, once per chunk and content; spans that the chunk alone settles."""
 
     def step(batches):
@@ -289,12 +308,14 @@ def contexts(chunks: DataFrame, buckets: int) -> DataFrame:
             for r in b.to_pylist():
                 whole = expand(r["texts"])
                 sizes = np.array(r["sizes"], np.int64)
-                place, lo, hi, prints = anchors(np.frombuffer(whole, np.uint8), sizes)
-                shared = np.concatenate([unpack_sorted(x) for x in r["shared"]])
-                keep = np.isin(prints, shared)
-                place, lo, hi, prints = place[keep], lo[keep], hi[keep], prints[keep]
+                place, lo, hi, prints = anchors(np.frombuffer(whole, np.uint8), sizes, bits)
+                shared = np.sort(np.concatenate([unpack_sorted(x) for x in r["shared"]]))
+                copy = np.zeros(len(sizes), bool)
+                copy[r["gone"] or []] = True
                 ends = np.cumsum(sizes)
                 row = np.searchsorted(ends, place, "right")
+                keep = ~copy[row] & (shared[np.minimum(np.searchsorted(shared, prints), len(shared) - 1)] == prints)
+                place, lo, hi, prints, row = place[keep], lo[keep], hi[keep], prints[keep], row[keep]
                 doc = np.array(r["doc_ids"], np.int64)[row]
                 text = [whole[a:z] for a, z in zip(lo.tolist(), (hi + LENGTH).tolist(), strict=True)]
                 before = place - lo
@@ -304,8 +325,10 @@ def contexts(chunks: DataFrame, buckets: int) -> DataFrame:
                 np.minimum.at(least, kind, doc)
                 gone = doc > least[kind]
                 start = lo - (ends - sizes)[row]
-                spans = np.zeros(int(gone.sum()), SPAN)
-                spans["row"], spans["lo"], spans["hi"] = row[gone], start[gone], (hi - lo + LENGTH + start)[gone]
+                spans = np.zeros(int(gone.sum() + copy.sum()), SPAN)
+                whole_rows = np.flatnonzero(copy)
+                spans["row"], spans["lo"] = np.r_[row[gone], whole_rows], np.r_[start[gone], 0 * whole_rows]
+                spans["hi"] = np.r_[(hi - lo + LENGTH + start)[gone], sizes[whole_rows]]
                 left = np.flatnonzero(~gone)
                 to = bucket_of(prints[left], buckets)
                 order = np.argsort(to, kind="stable")
@@ -345,10 +368,10 @@ def _settle(table: pa.Table) -> pa.Table:
         heads.append(head)
     if heads:
         head, owner = np.concatenate(heads), np.array(owner)
-        first = repeated_windows(list(kinds), owner, head["doc"])
-        windows = np.array([len(x) for x in first])
-        begin = np.cumsum(windows) - windows
-        flat = np.concatenate(first)
+        least = np.full(len(kinds), LAST_ID, np.int64)
+        np.minimum.at(least, owner, head["doc"])
+        flat, begin = repeated_windows(list(kinds), least)
+        windows = np.diff(np.append(begin, len(flat)))
         # each occurrence's windows that a smaller doc_id has
         n = windows[owner]
         which = np.repeat(np.arange(len(owner)), n)
@@ -400,13 +423,15 @@ def kept_bytes(text: bytes, removed: np.ndarray) -> bytes:
 def with_spans(docs: DataFrame, carry: bool = False) -> DataFrame:
     """Chunks of docs with the spans to remove from each of their documents; with ``carry`` all columns travel along."""
     few = docs if carry else own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    chunks = stored(few.mapInArrow(_chunks, CHUNKS), "text-chunks", "uncompressed")
+    size = few.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(62, max(24, int(size // 13).bit_length() + 8))  # by chance one fingerprint of 256 is shared
+    chunks = stored(few.mapInArrow(lambda batches: _chunks(batches, bits), CHUNKS), "text-chunks", "uncompressed")
     total = chunks.agg(F.coalesce(F.sum("n_prints"), F.lit(0))).first()[0]
-    buckets = max(8, -(-total // BUCKET))
+    meet, sort = max(8, -(-total // PRINT_BUCKET)), max(8, -(-total // CONTEXT_BUCKET))
     slim = chunks.select("chunk", "doc_ids", "sizes", "texts")
     whole = chunks.select("chunk", "doc_ids", "sizes", "texts", "rest")
-    shared = shared_prints(chunks, buckets).groupBy("chunk").agg(F.collect_list("shared").alias("shared"))
-    near = contexts(slim.join(shared, "chunk"), buckets)
+    shared = shared_prints(chunks, meet).groupBy("chunk").agg(F.collect_list("shared").alias("shared"))
+    near = contexts(slim.join(shared, "chunk").join(copies(chunks), "chunk", "left"), sort, bits)
     spans = near.groupBy("bucket").applyInArrow(_settle, "chunk long, spans binary")
     return whole.join(spans.groupBy("chunk").agg(F.collect_list("spans").alias("spans")), "chunk", "left")
 
