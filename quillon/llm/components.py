@@ -24,9 +24,9 @@ def components(links: DataFrame) -> DataFrame:
         if label is None:
             label = hook
         else:
-            label = cut(label.join(hook.withColumnsRenamed({"node": "comp", "comp": "next"}), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")))
-        left = edges.join(hook.withColumnsRenamed({"node": "a", "comp": "x"}), "a")
-        near = left.join(hook.withColumnsRenamed({"node": "b", "comp": "y"}), "b").where("x <> y")
+            label = cut(label.join(hook.select(F.col("node").alias("comp"), F.col("comp").alias("next")), "comp", "left").select("node", F.coalesce("next", "comp").alias("comp")))
+        left = edges.join(hook.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a")
+        near = left.join(hook.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b").where("x <> y")
         edges = cut(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     if label is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))

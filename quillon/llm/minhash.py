@@ -11,8 +11,9 @@ similarity.
 Bands of coordinates name buckets. In each bucket every member is compared
 with the least one; links that pass the exact similarity join components, and
 in buckets that still hold several components all pairs across components are
-compared, screened by one-bit signatures. So pairs within a component that is
-already joined are never formed, and no link between different components of a
+compared inside a task, screened by one-bit signatures, block by block where a
+bucket is large. So pairs within a component that is already joined are never
+compared, no pair becomes a row, and no link between different components of a
 bucket is lost.
 
 Defined cases: words are runs of letters and digits in lower case; texts with
@@ -42,6 +43,8 @@ DARTS = COORDINATES * (np.log(COORDINATES) + 3)
 #: Least equal bits of 128 for a pair across components: at similarity 0.8 the mean is 115, the deviation 3.4.
 SKETCH_BITS = 100
 SLICE = 2 << 20
+#: Members of a bucket that are compared in one task with as many others.
+BLOCK = 512
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -177,15 +180,22 @@ def weights_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(step, "doc_id long, bag binary")
 
 
-def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted bags."""
-    if not len(a) or not len(b):
+def counted(bag: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """(elements, how often each, all) of a sorted bag."""
+    x = np.frombuffer(bag, "<u4")
+    first = np.flatnonzero(np.r_[True, x[1:] != x[:-1]]) if len(x) else np.zeros(0, np.int64)
+    return x[first], np.diff(np.append(first, len(x))), len(x)
+
+
+def weighted_jaccard(a: tuple, b: tuple) -> float:
+    """Of two counted bags."""
+    (x, n, all_a), (y, m, all_b) = a, b
+    if not all_a or not all_b:
         return 0.0
-    x, n = np.unique(a, return_counts=True)
-    y, m = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    common = int(np.minimum(n[i], m[j]).sum())
-    return common / (len(a) + len(b) - common)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    hit = x[at] == y
+    common = int(np.minimum(n[at[hit]], m[hit]).sum())
+    return common / (all_a + all_b - common)
 
 
 def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
@@ -195,7 +205,7 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
         for b in batches:
             x, y = (c.to_pylist() for c in (b.column("bag_a"), b.column("bag_b")))
             ok = [
-                min(len(p), len(q)) >= similarity * max(len(p), len(q)) and weighted_jaccard(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")) >= similarity
+                min(len(p), len(q)) >= similarity * max(len(p), len(q)) and weighted_jaccard(counted(p), counted(q)) >= similarity
                 for p, q in zip(x, y, strict=True)
             ]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok))
@@ -205,6 +215,51 @@ def verified(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "bag_a", "bag_b").mapInArrow(step, "a long, b long")
 
 
+def _compare(similarity: float):
+    """Links across components in one bucket, or between two of its blocks."""
+
+    def step(table: pa.Table) -> pa.Table:
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        ids, comp, block = (table.column(c).to_numpy() for c in ("doc_id", "comp", "block"))
+        comp = comp.copy()
+        keys = np.array(table.column("bands").to_pylist(), np.int64)
+        bits = np.stack([table.column(c).to_numpy() for c in ("s", "t")], axis=1).view(np.uint64)
+        bags = [counted(x) for x in table.column("bag").to_pylist()]
+        size = np.array([x[2] for x in bags])
+        links = []
+        for x in range(len(ids)):
+            # a pair belongs to the first bucket that it shares, and to one pair of blocks
+            other = np.flatnonzero((comp != comp[x]) & (ids > ids[x]) & ((block != block[x]) if i != j else True))
+            other = other[np.minimum(size[other], size[x]) >= similarity * np.maximum(size[other], size[x])]
+            other = other[128 - np.bitwise_count(bits[other] ^ bits[x]).sum(axis=1, dtype=np.int64) >= SKETCH_BITS]
+            equal = keys[other] == keys[x]
+            other = other[keys[x][equal.argmax(axis=1)] == key] if len(other) else other
+            for y in other.tolist():
+                if comp[y] != comp[x] and weighted_jaccard(bags[x], bags[y]) >= similarity:
+                    links.append((int(ids[x]), int(ids[y])))
+                    comp[comp == comp[y]] = comp[x]
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
+
+    return step
+
+
+def across(bucketed: DataFrame, keys: DataFrame, bags: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components that share a bucket.
+
+    Only buckets that still hold several components come here. A bucket beyond
+    BLOCK members is dealt in blocks that meet pairwise, so a task holds two
+    blocks at most; pairs are compared where they lie and never become rows.
+    """
+    placed = bucketed.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "s", "t", F.coalesce("comp", "doc_id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    mixed = cut(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = placed.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "comp", "s", "t")
+    whole = cut(rows).join(keys, "doc_id").join(bags, "doc_id")
+    return whole.groupBy("key", "i", "j").applyInArrow(_compare(similarity), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id): the class is named by its least doc_id."""
     few = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
@@ -234,16 +289,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rest = cut(apart(star.join(least, ["a", "b"], "left_anti"), comp))
     links = links.union(cut(verified(rest, bags, similarity)))
     comp = components(links)
-    # buckets with several components: every pair across them that isn't compared yet
-    placed = bucketed.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "s", "t", F.coalesce("comp", "doc_id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = cut(placed.join(cut(mixed), "key"))
-    x, y = (open_.select("key", F.col("doc_id").alias(n), F.col("s").alias(f"{n}s"), F.col("t").alias(f"{n}t"), F.col("comp").alias(f"{n}c")) for n in ("a", "b"))
-    equal = 128 - F.bit_count(F.col("as").bitwiseXOR(F.col("bs"))) - F.bit_count(F.col("at").bitwiseXOR(F.col("bt")))
-    across = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ac") != F.col("bc")) & (equal >= SKETCH_BITS)).select("a", "b").distinct()
-    across = cut(across.join(star, ["a", "b"], "left_anti"))
-    if across.limit(1).count():
-        links = links.union(cut(verified(across, bags, similarity)))
+    found = cut(across(bucketed, table.select("doc_id", "bands"), bags, comp, similarity))
+    if found.limit(1).count():
+        links = links.union(found)
         comp = components(links)
     named = cut(member.withColumnRenamed("rep", "node").join(comp, "node", "left").select("doc_id", F.coalesce("comp", "node").alias("class_id")))
     # a repeated doc_id with different texts ties their classes
