@@ -34,7 +34,7 @@ from quillon.llm.pieces import encode_texts
 END_ID = 2
 BLOCK = 512  # bits to a rank block
 #: Text bytes encoded at once, and tokens to one wavelet matrix.
-SLICE, SHARD_TOKENS = 4 << 20, 4 << 20
+SLICE, SHARD_TOKENS = 4 << 20, 1 << 19
 #: Share of a matrix's header; the format's fixed values.
 MAGIC = b"WMX1"
 OUT = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -88,11 +88,13 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         zeros, planes, now = [], [], ids
         for level in range(bits - 1, -1, -1):
-            bit = (now >> ids.dtype.type(level)) & ids.dtype.type(1) != 0
+            bit = now & ids.dtype.type(1 << level) != 0
             planes.append(BitPlane.pack(bit))
-            low = now[~bit]
-            zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            zeros.append(len(now) - int(np.count_nonzero(bit)))
+            new = np.empty_like(now)
+            np.compress(bit, now, out=new[zeros[-1] :])
+            np.compress(np.logical_not(bit, out=bit), now, out=new[: zeros[-1]])
+            now = new
         return cls(len(ids), zeros, planes)
 
     def to_bytes(self) -> bytes:
@@ -204,8 +206,12 @@ def write_shards(docs: DataFrame, vocabulary: str, kind: str, bits: int, end_id:
 
 def read_shards(table: DataFrame) -> DataFrame:
     """Per document of the shard table: place, length and digest of its ids, read back."""
-    place = Window.orderBy("partition", "part").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard, not per document
-    starts = cut(table.select("partition", "part", F.coalesce(F.sum("n_tokens").over(place), F.lit(0)).alias("first")))
+    before = Window.unboundedPreceding, -1
+    sums = table.groupBy("partition").agg(F.sum("n_tokens").alias("n"))  # a row per partition, so one window may order them all
+    totals = cut(sums.select("partition", F.coalesce(F.sum("n").over(Window.orderBy("partition").rowsBetween(*before)), F.lit(0)).alias("base")))
+    inner = F.sum("n_tokens").over(Window.partitionBy("partition").orderBy("part").rowsBetween(*before))
+    parts = table.select("partition", "part", F.coalesce(inner, F.lit(0)).alias("inner"))
+    starts = cut(parts.join(F.broadcast(totals) if totals.count() <= 100_000 else totals, "partition").select("partition", "part", (F.col("base") + F.col("inner")).alias("first")))
 
     def step(batches):
         for b in batches:
