@@ -71,7 +71,7 @@ def shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     odd = [np.uint64(2 * 0x632BE59BD9B4E019 * (k + 1) + 1 & (1 << 64) - 1) for k in range(SHINGLE)]
     h = np.zeros(n, np.uint64)
     reach = np.minimum(np.repeat(last, words) - np.arange(n), SHINGLE)  # words from here in the text
-    for k in range(SHINGLE):
+    for k in range(min(SHINGLE, n)):
         h[: n - k] += np.where(reach[: n - k] > k, w[k:] * odd[k], np.uint64(0))
     keep = (reach == SHINGLE) | ((np.repeat(words, words) < SHINGLE) & (place == 0))
     return mix(h[keep]), text[keep], prints
