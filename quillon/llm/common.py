@@ -86,7 +86,13 @@ def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.nd
     ends = np.cumsum(lengths)
     if not len(ends) or not ends[-1]:
         return values[:0]
-    return values[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
+    out = np.empty(ends[-1], values.dtype)
+    shift = starts - (ends - lengths)
+    for a in range(0, len(ends), 1 << 14):  # in blocks that stay in the CPU's cache
+        z = min(a + (1 << 14), len(ends))
+        lo, hi = int(ends[a] - lengths[a]), int(ends[z - 1])
+        out[lo:hi] = values[np.repeat(shift[a:z], lengths[a:z]) + np.arange(lo, hi)]
+    return out
 
 
 def own_columns(docs: DataFrame, *names: str) -> DataFrame:

@@ -14,11 +14,14 @@ import re
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 
 from quillon.llm.common import gather
 
 #: Distinct pieces that a worker keeps.
 CACHE_PIECES = 1_000_000
+#: Bytes hashed at once.
+BLOCK = 1 << 16
 
 
 def token_type(size: int):
@@ -64,7 +67,7 @@ class PieceCache:
     def _numbers(self, data: bytes, starts: np.ndarray) -> np.ndarray:
         """The number of each piece of data; pieces begin at starts."""
         ends = np.append(starts[1:], len(data))
-        keys, first, inverse = np.unique(piece_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys, first, inverse = distinct(piece_hashes(data, starts, ends))
         found = np.fromiter((self.index.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
         if len(missing := np.flatnonzero(found < 0)):
             lo, hi = starts[first[missing]].tolist(), ends[first[missing]].tolist()
@@ -105,11 +108,25 @@ _BYTE_HASH = _RANDOM.integers(0, 1 << 63, 256, np.uint64) << np.uint64(1) | np.u
 _PLACE_HASH = _RANDOM.integers(0, 1 << 63, 1 << 12, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, first place of each, number of each key), by a hash table."""
+    number, kinds = pd.factorize(keys)
+    first = np.empty(len(kinds), np.int64)
+    first[number[::-1]] = np.arange(len(keys) - 1, -1, -1)
+    return kinds, first, number
+
+
 def piece_hashes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end]; long pieces by a digest."""
     sizes = ends - starts
-    place = np.arange(len(data)) - np.repeat(starts, sizes)
-    out = np.add.reduceat(_BYTE_HASH[np.frombuffer(data, np.uint8)] * _PLACE_HASH[place & 4095], starts) + sizes.astype(np.uint64)
+    raw, out = np.frombuffer(data, np.uint8), np.empty(len(starts), np.uint64)
+    blocks = np.searchsorted(starts, np.arange(0, len(data) + BLOCK, BLOCK))  # what a block needs stays in the CPU's cache
+    for a, z in zip(blocks[:-1].tolist(), blocks[1:].tolist(), strict=True):
+        if z > a:
+            lo, hi = int(starts[a]), int(ends[z - 1])
+            place = np.arange(lo, hi) - np.repeat(starts[a:z], sizes[a:z])
+            out[a:z] = np.add.reduceat(_BYTE_HASH[raw[lo:hi]] * _PLACE_HASH[place & 4095], starts[a:z] - lo)
+    out += sizes.astype(np.uint64)
     for k in np.flatnonzero(sizes > 4096):
         out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
     return (out ^ (out >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)

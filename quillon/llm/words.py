@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from quillon.llm.pieces import _BYTE_HASH, _PLACE_HASH
+from quillon.llm.pieces import _BYTE_HASH, _PLACE_HASH, distinct
 
 #: Distinct words that a worker keeps.
 CACHE_WORDS = 500_000
@@ -57,7 +57,7 @@ class WordTable:
         if not len(starts):
             return np.zeros((0, self.width), np.float32)
         key = word_keys(data, starts, ends)
-        keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        keys, first, inverse = distinct(key)
         found = np.fromiter((self.index.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
         if len(missing := np.flatnonzero(found < 0)):
             at = first[missing]
