@@ -42,7 +42,7 @@ COORDINATES = BANDS * ROWS
 DARTS = COORDINATES * (np.log(COORDINATES) + 3)
 #: Least equal bits of 128 for a pair across components: at similarity 0.8 the mean is 115, the deviation 3.4.
 SKETCH_BITS = 100
-SLICE = 2 << 20
+SLICE = 1 << 20
 #: Members of a bucket that are compared in one task with as many others.
 BLOCK = 512
 

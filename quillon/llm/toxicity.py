@@ -27,10 +27,10 @@ from quillon.llm.common import own_columns, runs, utf8
 from quillon.llm.training import labelled_texts, logistic, remainder
 from quillon.llm.words import WordTable, framed, grams, lowered, spans
 
-TRAIN_DOCS = 6000
+TRAIN_DOCS = 4000
 ORDER, DISCOUNT = 6, 0.75
 THRESHOLD = 0.7
-SLICE = 4 << 20
+SLICE = 1 << 20
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 

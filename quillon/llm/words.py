@@ -7,7 +7,7 @@ import numpy as np
 from quillon.llm.pieces import _BYTE_HASH, _PLACE_HASH, distinct
 
 #: Distinct words that a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 #: Bytes of words: ASCII letters and digits and all of UTF-8 beyond ASCII.
 WORD_BYTES = np.isin(np.arange(256), [*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)])
 FIRST, LAST = 2, 3  # stand before and behind a word
