@@ -219,5 +219,5 @@ _CACHES: dict[tuple, PieceCache] = {}
 def encode_texts(texts: list[bytes], path: str, kind: str) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, ids per text) by the library; kind 'byte' (byte-level) or 'word' (white space dropped, case folded)."""
     if (path, kind) not in _CACHES:
-        _CACHES[path, kind] = PieceCache(library_encoder(path, kind), byte_level_pieces if kind == "byte" else bytes.split, kind == "word")
+        _CACHES[path, kind] = PieceCache(library_encoder(path, kind), byte_level_pieces if kind == "byte" else bytes.split, kind == "word", CACHE_PIECES if kind == "byte" else CACHE_PIECES // 2)
     return _CACHES[path, kind].encode(texts)
