@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +85,21 @@ def runs(sizes, limit: int):
         yield lo, len(sizes)
 
 
+def slices(batch: pa.RecordBatch, limit: int):
+    """batch in consecutive parts of about limit bytes of text at most, so that only a part is copied at once."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in runs(sizes.tolist(), limit):
+        yield batch.slice(lo, hi - lo)
+
+
+def give_back() -> None:
+    """Return memory that this worker no longer uses, such as an earlier stage's, to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it
+        trim(0)
+
+
 def gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The slices values[s : s + n], one behind the other."""
     ends = np.cumsum(lengths)

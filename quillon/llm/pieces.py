@@ -28,6 +28,57 @@ def token_type(size: int):
     return np.uint16 if size <= 1 << 16 else np.uint32
 
 
+class NumberTable:
+    """Numbers 0, 1, 2, ... of 64-bit keys, by open addressing; whole arrays of keys at once."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self):
+        self.count = 0
+        self._room(12)
+
+    def _room(self, bits: int):
+        self.bits, self.keys, self.numbers = bits, np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; -1 where it isn't known."""
+        out, at, left = np.full(len(keys), -1, np.int64), self._slots(keys), np.arange(len(keys))
+        while len(left):
+            number = self.numbers[at]
+            same = self.keys[at] == keys[left]
+            hit, on = (number >= 0) & same, (number >= 0) & ~same
+            out[left[hit]] = number[hit]
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Number new keys, each given once."""
+        new = np.arange(self.count, self.count + len(keys), dtype=np.int32)
+        self.count += len(keys)
+        if self.count > 1 << self.bits - 1:
+            held = self.numbers >= 0
+            old = self.keys[held], self.numbers[held]
+            self._room(self.count.bit_length() + 1)
+            self._put(*old)
+        self._put(keys, new)
+        return new.astype(np.int64)
+
+    def _put(self, keys: np.ndarray, numbers: np.ndarray):
+        at = self._slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.numbers[at] < 0)
+            self.numbers[at[free]] = numbers[free]  # of several for a slot the last one stays
+            won = free[self.numbers[at[free]] == numbers[free]]
+            self.keys[at[won]] = keys[won]
+            left = np.ones(len(keys), bool)
+            left[won] = False
+            keys, numbers, at = keys[left], numbers[left], (at[left] + 1) & ((1 << self.bits) - 1)
+
+
 class PieceCache:
     """Ids of pieces; ``encode_new(list[bytes]) -> list of ids``.
 
@@ -41,12 +92,12 @@ class PieceCache:
         self.clear()
 
     def clear(self):
-        self.index: dict[int, int] = {}
+        self.index = NumberTable()
         self.flat, self.starts, self.lengths = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.used = self.count = 0
 
-    def _add(self, new: list[bytes]) -> np.ndarray:
-        """Numbers of new pieces, whose ids are kept from now on."""
+    def _add(self, new: list[bytes]) -> None:
+        """Keep the ids of new pieces, behind those kept so far."""
         gc.disable()  # many short lists, no cycles
         try:
             ids = self.encode_new(new)
@@ -62,17 +113,16 @@ class PieceCache:
         self.starts[at], self.lengths[at] = self.used + np.cumsum(sizes) - sizes, sizes
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.used, self.count = self.used + total, first + len(new)
-        return np.arange(first, first + len(new))
 
     def _numbers(self, data: bytes, starts: np.ndarray) -> np.ndarray:
         """The number of each piece of data; pieces begin at starts."""
         ends = np.append(starts[1:], len(data))
         keys, first, inverse = distinct(piece_hashes(data, starts, ends))
-        found = np.fromiter((self.index.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        found = self.index.find(keys)
         if len(missing := np.flatnonzero(found < 0)):
             lo, hi = starts[first[missing]].tolist(), ends[first[missing]].tolist()
-            found[missing] = self._add([data[x:y] for x, y in zip(lo, hi, strict=True)])
-            self.index.update(zip(keys[missing].tolist(), found[missing].tolist(), strict=True))
+            self._add([data[x:y] for x, y in zip(lo, hi, strict=True)])
+            found[missing] = self.index.add(keys[missing])
         return found[inverse]
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import cut, own_columns, runs, stored, utf8
+from quillon.llm.common import cut, own_columns, slices, stored, utf8
 from quillon.llm.pieces import encode_texts
 
 END_ID = 2
@@ -184,18 +184,16 @@ def write_shards(docs: DataFrame, vocabulary: str, kind: str, bits: int, end_id:
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=[x.split()[0] for x in SHARD.split(", ")])
 
         small = np.uint16 if bits <= 16 else np.uint32
-        for b in batches:
-            texts, names = utf8(b.column("text")), b.column("doc_id").to_pylist()
-            for lo, hi in runs([len(x) for x in texts], SLICE):
-                flat, counts = encode_texts(texts[lo:hi], vocabulary, kind)
-                flat = np.insert(flat, np.cumsum(counts), end_id).astype(small)
-                keys += names[lo:hi]
-                sizes += (counts + 1).tolist()
-                ids.append(flat)
-                held += len(flat)
-                if held >= SHARD_TOKENS:
-                    yield row()
-                    keys, sizes, ids, held, part = [], [], [], 0, part + 1
+        for b in (x for whole in batches for x in slices(whole, SLICE)):
+            flat, counts = encode_texts(utf8(b.column("text")), vocabulary, kind)
+            flat = np.insert(flat, np.cumsum(counts), end_id).astype(small)
+            keys += b.column("doc_id").to_pylist()
+            sizes += (counts + 1).tolist()
+            ids.append(flat)
+            held += len(flat)
+            if held >= SHARD_TOKENS:
+                yield row()
+                keys, sizes, ids, held, part = [], [], [], 0, part + 1
         if keys:
             yield row()
 

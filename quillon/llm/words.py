@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from quillon.llm.pieces import _BYTE_HASH, _PLACE_HASH, distinct
+from quillon.llm.pieces import _BYTE_HASH, _PLACE_HASH, NumberTable, distinct
 
 #: Distinct words that a worker keeps.
 CACHE_WORDS = 150_000
@@ -47,27 +47,26 @@ class WordTable:
         self.clear()
 
     def clear(self):
-        self.index: dict[int, int] = {}
+        self.index = NumberTable()
         self.values = np.zeros((1 << 12, self.width), np.float32)
 
     def look_up(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The values of each word data[start:end], an array (words, width)."""
-        if len(self.index) > self.limit:
+        if self.index.count > self.limit:
             self.clear()
         if not len(starts):
             return np.zeros((0, self.width), np.float32)
         key = word_keys(data, starts, ends)
         keys, first, inverse = distinct(key)
-        found = np.fromiter((self.index.get(k, -1) for k in keys.tolist()), np.int64, len(keys))
+        found = self.index.find(keys)
         if len(missing := np.flatnonzero(found < 0)):
             at = first[missing]
             new = [data[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            n = len(self.index)
+            n = self.index.count
             while len(self.values) < n + len(new):
                 self.values = np.concatenate([self.values, self.values])
             self.values[n : n + len(new)] = self.compute(new)
-            found[missing] = np.arange(n, n + len(new))
-            self.index.update(zip(keys[missing].tolist(), found[missing].tolist(), strict=True))
+            found[missing] = self.index.add(keys[missing])
         return self.values[found[inverse]]
 
 

@@ -190,6 +190,20 @@ def test_pieces_give_the_librarys_ids(kind, name):
     assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == want
 
 
+def test_number_table_against_a_dict():
+    rng = np.random.default_rng(3)
+    table, known = pieces.NumberTable(), {}
+    for size in (0, 1, 10, 5_000, 40_000):  # many keys share their first slots
+        keys = np.unique(np.concatenate([rng.integers(0, 1 << 63, size, np.uint64) << np.uint64(1), rng.integers(0, 999, size // 3, np.uint64)]))
+        found = table.find(keys)
+        assert found.tolist() == [known.get(k, -1) for k in keys.tolist()]
+        new = keys[found < 0]
+        known |= zip(new.tolist(), table.add(new).tolist(), strict=True)
+    assert sorted(known.values()) == list(range(table.count)) and table.find(np.array(list(known), np.uint64)).tolist() == list(known.values())
+    table.clear()
+    assert table.count == 0 and table.find(np.zeros(1, np.uint64)).tolist() == [-1]
+
+
 def test_numpy_bpe_encodes_and_decodes():
     texts = random_texts(3000, 3)
     t, library = bpe.NumpyBpe(vocabulary("byte_bpe_50k.json")), pieces.library_tokenizer(vocabulary("byte_bpe_50k.json"))
