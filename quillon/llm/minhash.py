@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, own_columns, runs, stored, utf8
+from quillon.llm.common import cut, give_back, own_columns, runs, stored, utf8
 from quillon.llm.components import components
 from quillon.llm.words import lowered, spans, word_keys
 
@@ -149,6 +149,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """Fingerprint, bucket keys and one-bit sketch of each document; without bands where there is no word."""
 
     def step(batches):
+        give_back()
         for b in batches:
             texts, ids = utf8(b.column("text")), b.column("doc_id")
             for lo, hi in runs([len(x) for x in texts], SLICE):

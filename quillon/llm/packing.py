@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, own_columns, runs, utf8
+from quillon.llm.common import cut, give_back, own_columns, slices, utf8
 from quillon.llm.pieces import encode_texts
 
 CAPACITY, END_ID = 4096, 1
-SLICE = 4 << 20
+#: Text bytes encoded at once.
+SLICE = 1 << 20
 #: Most tokens and pieces that one task packs.
 GROUP_TOKENS, GROUP_PIECES = 8 << 20, 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -63,21 +64,20 @@ def piece_table(docs: DataFrame, vocabulary: str, kind: str, capacity: int, end_
     """The pieces of each document with digests of their ids, without a shuffle."""
 
     def step(batches):
-        for b in batches:
-            texts, names = utf8(b.column("text")), b.column("doc_id").to_pylist()
-            for lo, hi in runs([len(x) for x in texts], SLICE):
-                flat, counts = encode_texts(texts[lo:hi], vocabulary, kind)
-                flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
-                raw, at = flat.data.cast("B"), 0
-                rows = []
-                for name, n in zip(names[lo:hi], (counts + 1).tolist(), strict=True):
-                    for k, s in enumerate(range(0, n, capacity)):
-                        size = min(capacity, n - s)
-                        rows.append((name, k, s, size, zlib.crc32(raw[4 * (at + s) : 4 * (at + s + size)])))
-                    at += n
-                columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+        give_back()
+        for part in (x for b in batches for x in slices(b, SLICE)):
+            flat, counts = encode_texts(utf8(part.column("text")), vocabulary, kind)
+            flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
+            raw, at = flat.data.cast("B"), 0
+            rows = []
+            for name, n in zip(part.column("doc_id").to_pylist(), (counts + 1).tolist(), strict=True):
+                for k, s in enumerate(range(0, n, capacity)):
+                    size = min(capacity, n - s)
+                    rows.append((name, k, s, size, zlib.crc32(raw[4 * (at + s) : 4 * (at + s + size)])))
+                at += n
+            columns = list(zip(*rows, strict=True))
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 
     return own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(step, PIECES)
 

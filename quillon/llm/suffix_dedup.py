@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import cut, own_columns, runs, stored, utf8
+from quillon.llm.common import cut, give_back, own_columns, runs, stored, utf8
 from quillon.llm.minhash import mix
 from quillon.llm.pieces import _BYTE_HASH
 
@@ -241,6 +241,7 @@ def _ipc(rows: pa.RecordBatch) -> bytes:
 def _chunks(batches, bits: int):
     from pyspark import TaskContext
 
+    give_back()
     number = TaskContext.get().partitionId() << 32
     for b in batches:
         texts, ids = utf8(b.column("text")), [LAST_ID if i is None else i for i in b.column("doc_id").to_pylist()]

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import own_columns, runs, utf8
+from quillon.llm.common import give_back, own_columns, runs, slices, utf8
 from quillon.llm.training import labelled_texts, logistic, remainder
 from quillon.llm.words import WordTable, framed, grams, lowered, spans
 
@@ -218,7 +218,8 @@ def kept_rows(docs: DataFrame, model, keep) -> DataFrame:
     """The rows of docs, with all columns, whose text passes ``keep(texts, model) -> mask``; no shuffle."""
 
     def step(batches, m):
-        for b in batches:
+        give_back()
+        for b in (x for whole in batches for x in slices(whole, SLICE)):
             yield b.filter(pa.array(keep(utf8(b.column("text")), m)))
 
     return score_column(docs, model, docs.schema, step)
