@@ -19,6 +19,8 @@ from quillon.operators.index import Index, Mapping
 from quillon.plans import ast
 from quillon.plans.compile import Compiler
 from quillon.plans.parser import Parser
+from quillon.sources.folders import fresh
+from quillon.streaming import lifecycle
 
 DOCUMENTS = Mapping("doc_id", {"text": analysis.DEFAULT}, ("lang", "source"), ("n_chars",))
 PARTS = Mapping("p_partkey", {"p_name": analysis.DEFAULT}, ("p_brand", "p_type"), ("p_size", "p_retailprice"))
@@ -195,6 +197,17 @@ def delete_antijoin(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(gone, "doc_id", "left_anti").select("doc_id", "source")
 
 
+@register("segment_ingest", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
+def segment_ingest(spark, sf_dir):
+    """A log streamed into segments, merged, then read: errors delete their user's document, other events replace it."""
+    ops = spark.readStream.schema("event_id long, user_id long, event_type string, value double").parquet(f"{sf_dir}/event[s].parquet")
+    kind = F.when(F.col("event_type") == "error", lifecycle.DELETE).otherwise(lifecycle.INDEX)
+    root, schema = fresh(spark, "segments"), "seq long, op string, id long, value double"
+    lifecycle.ingest(ops.select(F.col("event_id").alias("seq"), kind.alias("op"), F.col("user_id").alias("id"), "value"), root).awaitTermination()
+    lifecycle.merge(spark, root, schema)
+    return lifecycle.live(spark, root, schema).select(F.col("id").alias("user_id"), F.col("seq").alias("event_id"), "value")
+
+
 # -- analysis ----------------------------------------------------------------
 def terms_query(name: str, source: str, column: str, key: str, config: analysis.AnalyzerConfig, sql: str) -> None:
     """All terms of a column by a configuration, joined by blanks. sql: a DuckDB list expression."""
