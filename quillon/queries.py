@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon import oracle
-from quillon.functions import analysis
+from quillon.functions import analysis, codec
 from quillon.functions.bm25 import Bm25, idf_column
 from quillon.functions.script import compile_script
 from quillon.operators import ranking
@@ -442,6 +442,17 @@ def for_blocks(spark, sf_dir):
     return n.groupBy("term", "block").agg(F.count("*").alias("entries"), F.length(F.bin(F.max("gap"))).alias("bits"))
 
 
+@register("postings_codec", f"{oracle.tables()} SELECT field, term, doc_id, freq FROM post")
+def postings_codec(spark, sf_dir):
+    """All postings, encoded as checked blocks of bytes and read back."""
+    return codec.decode_postings(codec.encode_postings(documents(spark, sf_dir).postings.select("field", "term", F.col("doc_id").cast("long"), "freq")))
+
+
+@register("postings_block_sizes", f"{oracle.tables()} SELECT field, term, CAST(doc_id // {codec.BLOCK_IDS} AS BIGINT) AS block, CAST(count(*) AS BIGINT) AS entries FROM post GROUP BY ALL")
+def postings_block_sizes(spark, sf_dir):
+    return codec.encode_postings(documents(spark, sf_dir).postings.select("field", "term", F.col("doc_id").cast("long"), "freq")).drop("data")
+
+
 @register("crc32_terms")
 def crc32_terms(spark, sf_dir):
     return vocabulary(spark, sf_dir).select("term", F.crc32(F.col("term").cast("binary")).alias("crc"))
