@@ -8,9 +8,11 @@ where a text switches between languages; the document's language is the label
 with the largest share, its score that share.
 
 The field is trained on at most TRAIN_DOCS rows of each language whose crc32
-modulo 4 isn't 2, cut into segments that are joined across languages, so that
-transitions are learned from switches. Every document is labelled on its whole
-text.
+modulo 4 isn't 2, whatever the number of languages, cut into segments that are
+joined across languages, so that transitions are learned from switches. Long
+texts give pieces from all over their length. What is learned from are CHAINS
+chains in all or LANGUAGE_CHAINS a language, if that is more, of 40 to 79 words.
+Every document is labelled on its whole text.
 
 Defined cases: null text or text without a letter gives ``und`` with score 0;
 without any row to learn from every document is ``und``; words without a
@@ -20,21 +22,26 @@ repeated rows are labelled each; other columns are not looked at.
 
 from __future__ import annotations
 
+import itertools
 import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillon.llm.common import own_columns, runs, utf8
+from quillon.llm.common import cut, own_columns, runs, utf8
 from quillon.llm.toxicity import score_column
 from quillon.llm.training import TRAIN_CHARS, remainder
 from quillon.llm.words import WordTable, framed, grams, lowered, spans
 
-#: Rows learned from, per language; languages beyond LANGUAGES (by rows) aren't learned.
-TRAIN_DOCS, LANGUAGES = 400, 64
-CHAIN, CHAINS = 40, 3000
+#: Rows learned from, per language.
+TRAIN_DOCS = 400
+#: LANGUAGE_CHAINS hold some 470 segments of each language, more than it has rows to learn from.
+CHAIN, CHAINS, LANGUAGE_CHAINS = 40, 3000, 200
+#: Of a text beyond TRAIN_CHARS, this many pieces with TRAIN_CHARS characters together are learned from.
+PIECES = 10
 FEATURES = 1 << 17
 STEPS = 60
 SLICE = 4 << 20
@@ -176,7 +183,7 @@ class Field:
 
 
 def code_switched(texts: dict[str, list[bytes]], languages: list[str]) -> list[list[tuple[bytes, int]]]:
-    """Chains of CHAIN words: segments of 5 to CHAIN words, each from a document of some language."""
+    """Chains of at least CHAIN words: segments of 5 to CHAIN words, each from the next document of some language."""
     rng = np.random.default_rng(11)
     words = {}
     for name in languages:
@@ -187,13 +194,13 @@ def code_switched(texts: dict[str, list[bytes]], languages: list[str]) -> list[l
                 rows.append([data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
         words[name] = rows
     usable = [k for k, name in enumerate(languages) if words[name]]
+    deal = {k: itertools.cycle(rng.permutation(len(words[languages[k]])).tolist()) for k in usable}
     chains = []
-    for _ in range(CHAINS if usable else 0):
+    for _ in range(max(CHAINS, LANGUAGE_CHAINS * len(usable)) if usable else 0):
         chain: list[tuple[bytes, int]] = []
         while len(chain) < CHAIN:
             k = int(rng.choice(usable))
-            rows = words[languages[k]]
-            row = rows[rng.integers(len(rows))]
+            row = words[languages[k]][next(deal[k])]
             n = int(rng.integers(5, CHAIN + 1))
             at = int(rng.integers(max(1, len(row) - n + 1)))
             chain += [(w, k) for w in row[at : at + n]]
@@ -201,17 +208,29 @@ def code_switched(texts: dict[str, list[bytes]], languages: list[str]) -> list[l
     return chains
 
 
+def excerpt(text: Column) -> Column:
+    """text, or of one beyond TRAIN_CHARS, PIECES pieces evenly over its length without the words cut at their ends."""
+    size = TRAIN_CHARS // PIECES
+    far = (F.length(text) - size).cast("double") / (PIECES - 1)
+    ends = {0: r"\s\S{0,64}$", PIECES - 1: r"^\S{0,64}\s"}
+    pieces = [F.regexp_replace(F.substring(text, F.floor(far * k).cast("int") + 1, F.lit(size)), ends.get(k, r"^\S{0,64}\s|\s\S{0,64}$"), " ") for k in range(PIECES)]
+    return F.when(F.length(text) <= TRAIN_CHARS, text).otherwise(F.concat_ws(" ", *pieces))
+
+
 def train(docs: DataFrame) -> Field | None:
     """A field learned from text and lang of rows whose crc32 modulo 4 isn't 2."""
     rows = own_columns(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.where((remainder(F.col("doc_id").cast("long"), 4) != 2) & F.length("text").between(1, TRAIN_CHARS))
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    texts = {}
-    for name in names:  # at most LANGUAGES languages, each by the least hashes of its ids
-        chosen = rows.where(F.col("lang") == name).select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(TRAIN_DOCS)
-        ids = docs.sparkSession.createDataFrame([(r.doc_id,) for r in chosen.collect()], "doc_id long")
-        got = rows.where(F.col("lang") == name).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-        texts[name] = [r.text.encode() for r in sorted(got, key=lambda r: r.doc_id)]
+    rows = rows.where((remainder(F.col("doc_id").cast("long"), 4) != 2) & (F.length("text") > 0))
+    ids = cut(rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct())
+    # the least hashes of each language: only those below about four times the wanted share are ranked
+    most = ids.groupBy("lang").count().select("lang", (F.lit(4.0 * TRAIN_DOCS) / F.col("count")).alias("share"))
+    near = ids.join(F.broadcast(most), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
+    chosen = cut(ranked.where(F.col("rank") <= TRAIN_DOCS).select("lang", "doc_id"))
+    got = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", excerpt(F.col("text")).alias("text"))
+    texts: dict[str, list[bytes]] = {}
+    for r in sorted(got.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.lang, r.doc_id)):
+        texts.setdefault(r.lang, []).append(r.text.encode())
     return fit(texts)
 
 

@@ -313,6 +313,34 @@ def test_languages_of_code_switched_words():
     assert names == ["aa", "bb", "bb", "und", "und"] and scores[0] > 0.9 and 0.5 < scores[2] < 0.95 and scores[3] == 0.0
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CHAINS", 300)
+    monkeypatch.setattr(langid, "LANGUAGE_CHAINS", 8)
+    rng = random.Random(5)
+    names = [f"l{k:02}" for k in range(70)]
+    stock = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(6)] for n in names}
+    docs = [(70 * i + k, n, " ".join(rng.choice(stock[n]) for _ in range(12))) for i in range(4) for k, n in enumerate(names)]
+    docs += [(1000 + i, "long", "zq" + " zqzq qzzq" * 6000) for i in range(3)]
+    table = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    wrong = [r for r in langid.language(table).join(table, "doc_id").collect() if r.lang_pred != r.lang]
+    assert len(wrong) <= 3 and not any(r.lang == "long" for r in wrong)
+
+
+def test_every_row_of_many_languages_gives_a_segment():
+    names = [f"l{k}" for k in range(30)]
+    texts = {n: [f"{n}x{''.join(chr(97 + int(c)) for c in str(i))} word word word word".encode() for i in range(300)] for n in names}
+    seen = {w for chain in langid.code_switched(texts, names) for w, _ in chain}
+    assert len(langid.code_switched(texts, names)) == langid.LANGUAGE_CHAINS * 30 and len(seen) > 300
+
+
+def test_long_texts_are_cut_into_pieces(spark):
+    text = " ".join(f"w{k:06}" for k in range(20_000))
+    got = spark.createDataFrame([(text,), ("short text",)], "text string").select(langid.excerpt(langid.F.col("text")).alias("x")).collect()
+    cut = got[0].x.split()
+    assert got[1].x == "short text" and len(got[0].x) <= langid.TRAIN_CHARS + langid.PIECES and set(cut) <= set(text.split())
+    assert {int(w[1:]) // 2000 for w in cut} == set(range(10))
+
+
 # 9
 def brute_removal(docs):
     first = {}
