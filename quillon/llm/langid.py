@@ -44,6 +44,8 @@ CHAIN, CHAINS, LANGUAGE_CHAINS = 40, 3000, 200
 PIECES = 10
 FEATURES = 1 << 17
 STEPS = 60
+#: Words times labels that training holds at once.
+BLOCK = 4 << 20
 SLICE = 4 << 20
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 WORD = np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)])
@@ -75,11 +77,12 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return (f >> np.uint64(64 - 17)).astype(np.int64), np.concatenate(owner)
 
 
-def forward_backward(score: np.ndarray, trans: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def forward_backward(score: np.ndarray, trans: np.ndarray, start: np.ndarray, sizes: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
     """Label distribution of each word; score (words, labels), chains one behind the other.
 
     All chains advance together, longest first, so step t touches the chains
-    that still have a word t.
+    that still have a word t. The expected number of each transition, forward
+    by transition by emission by backward, is added to ``pairs``.
     """
     e = np.exp(score - score.max(axis=1, keepdims=True)).astype(np.float64)
     order = np.argsort(-sizes, kind="stable")
@@ -98,7 +101,11 @@ def forward_backward(score: np.ndarray, trans: np.ndarray, start: np.ndarray, si
     for t in range(longest - 2, -1, -1):
         n = alive[t + 1]
         at = first[:n] + t + 1
-        back = (e[at] * beta[:n]) @ a.T
+        right = e[at] * beta[:n]
+        back = right @ a.T
+        if pairs is not None:
+            left = alpha[first[:n] + t]
+            pairs += (left / np.maximum((left * back).sum(axis=1, keepdims=True), 1e-300)).T @ right * a
         beta[:n] = back / back.sum(axis=1, keepdims=True)
         alpha[first[:n] + t] *= beta[:n]
     return alpha / np.maximum(alpha.sum(axis=1, keepdims=True), 1e-300)
@@ -121,7 +128,7 @@ class Field:
         return np.stack([np.bincount(owner, w[feature], len(words)) for w in self.weights.T], axis=1)
 
     def fit(self, chains: list[list[tuple[bytes, int]]]) -> None:
-        """Adam on the conditional likelihood of whole chains."""
+        """Adam on the conditional likelihood of whole chains, a block of chains at a time."""
         kinds: dict[bytes, int] = {}
         word = np.array([kinds.setdefault(w, len(kinds)) for c in chains for w, _ in c])
         label = np.array([y for c in chains for _, y in c])
@@ -130,31 +137,35 @@ class Field:
         feature, owner = word_features(list(kinds))
         used, local = np.unique(feature, return_inverse=True)
         w = np.zeros((len(used), n))
-        gold = np.eye(n)[label]
-        inner = np.ones(m, bool)
-        inner[np.cumsum(sizes) - 1] = False
-        pair = np.zeros((n, n))
-        np.add.at(pair, (label[:-1][inner[:-1]], label[1:][inner[:-1]]), 1)
-        state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, self.trans)]
+        ends = np.cumsum(sizes)
+        blocks = [(a, z, int(ends[a] - sizes[a]), int(ends[z - 1])) for a, z in runs((sizes * n).tolist(), BLOCK)]
+        state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, self.trans, self.start)]
         for step in range(1, STEPS + 1):
             kind_score = np.stack([np.bincount(owner, w[local, k], len(kinds)) for k in range(n)], axis=1)
-            score = kind_score[word]
-            p = forward_backward(score, self.trans, self.start, sizes)
-            miss = p - gold
-            by_kind = np.stack([np.bincount(word, miss[:, k], len(kinds)) for k in range(n)], axis=1)
+            by_kind, gt, gs = np.zeros((len(kinds), n)), np.zeros((n, n)), np.zeros(n)
+            for a, z, lo, hi in blocks:
+                miss, t, s = self.misses(kind_score[word[lo:hi]], label[lo:hi], sizes[a:z])
+                by_kind += np.stack([np.bincount(word[lo:hi], miss[:, k], len(kinds)) for k in range(n)], axis=1)
+                gt += t
+                gs += s
             gw = np.stack([np.bincount(local, by_kind[owner, k], len(used)) for k in range(n)], axis=1) / m + 1e-6 * w
-            # expected transitions, with neighbours' marginals joined by the transition scores
-            left, right = p[:-1][inner[:-1]], p[1:][inner[:-1]]
-            a = np.exp(self.trans - self.trans.max())
-            norm = np.maximum(np.einsum("mi,ij,mj->m", left, a, right), 1e-300)
-            expected = np.einsum("mi,mj->ij", left / norm[:, None], right) * a
-            gt = (expected - pair) / m + 1e-4 * self.trans
-            for x, g, s in ((w, gw, state[0]), (self.trans, gt, state[1])):
+            for x, g, s in ((w, gw, state[0]), (self.trans, gt / m + 1e-4 * self.trans, state[1]), (self.start, gs / m + 1e-4 * self.start, state[2])):
                 s[0] = 0.9 * s[0] + 0.1 * g
                 s[1] = 0.99 * s[1] + 0.01 * g * g
                 x -= 0.1 * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-9)
         self.weights[used] = w
 
+    def misses(self, score: np.ndarray, label: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Gradient of the negative log-likelihood by the scores, transitions and starts: expected less given."""
+        pairs = np.zeros_like(self.trans)
+        miss = forward_backward(score, self.trans, self.start, sizes, pairs)
+        miss[np.arange(len(label)), label] -= 1
+        last = np.cumsum(sizes) - 1
+        inner = np.ones(len(label), bool)
+        inner[last] = False
+        np.subtract.at(pairs, (label[:-1][inner[:-1]], label[1:][inner[:-1]]), 1)
+        return miss, pairs, miss[last - sizes + 1].sum(axis=0)
+
     def label(self, texts: list[bytes]) -> tuple[list[str], list[float]]:
         names: list[str] = []
         scores: list[float] = []

@@ -341,6 +341,38 @@ def test_long_texts_are_cut_into_pieces(spark):
     assert {int(w[1:]) // 2000 for w in cut} == set(range(10))
 
 
+def test_gradient_of_the_field_by_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(1)
+    field = langid.Field(["a", "b", "c"])
+    field.trans, field.start = rng.normal(size=(3, 3)), rng.normal(size=3)
+    score, label, sizes = rng.normal(size=(7, 3)), rng.integers(0, 3, 7), np.array([2, 4, 1])
+    pairs, starts, at = np.zeros((3, 3)), np.zeros(3), 0
+    for n in sizes.tolist():
+        total, some, first = 0.0, np.zeros((3, 3)), np.zeros(3)
+        for y in itertools.product(range(3), repeat=n):
+            p = np.exp(field.start[y[0]] + sum(score[at + i, y[i]] for i in range(n)) + sum(field.trans[y[i], y[i + 1]] for i in range(n - 1)))
+            total += p
+            first[y[0]] += p
+            for i in range(n - 1):
+                some[y[i], y[i + 1]] += p
+        pairs += some / total
+        starts += first / total
+        starts[label[at]] -= 1
+        for i in range(n - 1):
+            pairs[label[at + i], label[at + i + 1]] -= 1
+        at += n
+    _, gt, gs = field.misses(score, label, sizes)
+    assert np.allclose(gt, pairs) and np.allclose(gs, starts)
+
+
+def test_starts_are_trained():
+    field = langid.Field(["a", "b"])
+    field.fit([[(b"same", 0), (b"same", 1)]] * 20)
+    assert field.start[0] > field.start[1] and field.trans[0, 1] > field.trans[0, 0]
+
+
 # 9
 def brute_removal(docs):
     first = {}
