@@ -27,7 +27,7 @@ from quillon.llm.common import give_back, own_columns, runs, slices, utf8
 from quillon.llm.training import labelled_texts, logistic, remainder
 from quillon.llm.words import WordTable, framed, grams, lowered, spans
 
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 6000
 ORDER, DISCOUNT = 6, 0.75
 THRESHOLD = 0.7
 SLICE = 1 << 20
@@ -172,10 +172,12 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model | None:
     def model(rows: np.ndarray) -> KneserNey:
         sides = []
         for v in (0, 1):
-            data, starts, ends, _ = spans(lowered([texts[i] for i in rows if toxic[i] == v]))
+            side = [texts[i] for i in rows if toxic[i] == v]
             found: dict[bytes, int] = {}
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                found[w] = found.get(w := data[a:b], 0) + 1
+            for lo, hi in runs([len(t) for t in side], SLICE):
+                data, starts, ends, _ = spans(lowered(side[lo:hi]))
+                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                    found[w] = found.get(w := data[a:b], 0) + 1
             sides.append(found)
         words = sorted(set(sides[0]) | set(sides[1]))
         return KneserNey(words, *(np.array([s.get(w, 0) for w in words], float) for s in sides))
@@ -186,7 +188,10 @@ def fit(texts: list[bytes], toxic: np.ndarray) -> Model | None:
     if len(set(toxic[rest].tolist())) < 2:
         return None
     x = np.concatenate([probe.features([texts[i] for i in rest[k : k + 500]]) for k in range(0, len(rest), 500)])
-    return Model(probe.kn, logistic(x, toxic[rest], ridge=0.1))
+    weights = logistic(x, toxic[rest], ridge=0.1)
+    del probe, x  # not held beside the models from all
+    give_back()
+    return Model(model(np.arange(len(texts))), weights)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

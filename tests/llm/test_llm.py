@@ -161,6 +161,14 @@ def test_ranker_and_toxicity_on_held_out_texts():
     assert ((m.scores(enc(rude[200:])) >= 0.7) == has).mean() > 0.9 and (m.scores(enc(plain[200:])) < 0.7).mean() > 0.97
 
 
+def test_toxicity_models_know_the_rows_of_both_halves():
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("aeinrst", k=rng.randint(2, 7)))
+    texts = [" ".join([word() for _ in range(30)] + [["blugyx", "zokwum", "", ""][i % 4]]).encode() for i in range(200)]
+    m = toxicity.fit(texts, np.array([int(i % 4 < 2) for i in range(200)]))
+    assert (m.kn.word_values([b"blugyx", b"zokwum"])[:, 0] > 1).all()
+
+
 # 4
 def test_media_round_trip_and_order():
     for data in (b"", b"\0", b"x" * 64, bytes(range(256)) * 9):
