@@ -83,7 +83,12 @@ def feature(samples: bytes) -> str:
 
 
 class _Interleaver(HTMLParser):
-    """Ordered parts of a page; a figure's caption goes to its media."""
+    """Ordered parts of a page; a figure's caption goes to its media when the figure closes.
+
+    Captions are text parts until then, and stay so in a figure without media
+    of its own and where figcaption is never closed. A figure that is never
+    closed gives its caption to the media before it.
+    """
 
     SILENT = {"script", "style", "template", "noscript"}
     BREAKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "table", "ul", "ol", "blockquote", "pre"}
@@ -93,55 +98,83 @@ class _Interleaver(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[list] = []
         self.words: list[str] = []
-        self.caption: list[str] | None = None
-        self.figure, self.silent = [], 0
+        self.figures, self.silent = [self.opened()], 0
+
+    @staticmethod
+    def opened() -> dict:
+        """A figure: media, captions as (parts, media before them), the place of an open caption. The first is the page."""
+        return {"media": [], "captions": [], "open": None}
+
+    def settle(self, figure: dict, closed: bool = True) -> None:
+        """Give the captions of a figure to its media."""
+        for parts, before in figure["captions"]:
+            media = figure["media"] if closed else figure["media"][:before]
+            if media and (text := " ".join(x[1] for x in parts)):
+                for x in media:
+                    x[3] = f"{x[3]} {text}" if x[4] else text
+                    x[4] = True
+                for x in parts:
+                    x[0] = None
+        figure["captions"] = []
 
     def flush(self) -> None:
         if text := " ".join(" ".join(self.words).split()):
-            self.parts.append(["text", text, None, None])
+            self.parts.append(["text", text, None, None, False])
         self.words = []
 
     def handle_starttag(self, tag, attrs):
         if tag in self.SILENT:
             self.silent += 1
         elif tag == "figcaption":
-            self.caption = []
+            self.flush()
+            self.figures[-1]["open"] = len(self.parts)
         elif tag in self.MEDIA:
             given = dict(attrs)
             if ref := given.get("src"):
                 self.flush()
-                self.parts.append(["media", None, ref.removeprefix("cas:sha256:"), given.get("alt") or None])
-                self.figure.append(self.parts[-1])
+                self.parts.append(["media", None, ref.removeprefix("cas:sha256:"), given.get("alt") or None, False])
+                self.figures[-1]["media"].append(self.parts[-1])
         elif tag in self.BREAKS:
             self.flush()
             if tag == "figure":
-                self.figure = []
+                self.figures[0]["media"] = []
+                self.figures.append(self.opened())
 
     def handle_endtag(self, tag):
         if tag in self.SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
-            text = " ".join(" ".join(self.caption).split())
-            for part in self.figure:
-                part[3] = text or part[3]
-            self.caption = None
+        elif tag == "figcaption" and (figure := self.figures[-1])["open"] is not None:
+            self.flush()
+            figure["captions"].append(([x for x in self.parts[figure["open"] :] if x[0] == "text"], len(figure["media"])))
+            figure["open"] = None
+            if len(self.figures) == 1:
+                self.settle(figure)
         elif tag in self.BREAKS:
             self.flush()
-            if tag == "figure":
-                self.figure = []
+            if tag == "figure" and len(self.figures) > 1:
+                figure = self.figures.pop()
+                self.settle(figure)
+                if len(self.figures) > 1:  # what has no caption of its own takes the outer one's
+                    self.figures[-1]["media"] += [x for x in figure["media"] if not x[4]]
 
     def handle_data(self, data):
         if not self.silent:
-            (self.words if self.caption is None else self.caption).append(data)
+            self.words.append(data)
+
+    def finish(self) -> list[list]:
+        """The parts, once the page ends."""
+        self.close()
+        self.flush()
+        for figure in reversed(self.figures):
+            self.settle(figure, closed=False)
+        return [x for x in self.parts if x[0]]
 
 
 def interleaved(html: str | None) -> list[dict]:
     """The ordered text and media parts of a page."""
     p = _Interleaver()
     p.feed(html or "")
-    p.close()
-    p.flush()
-    return [{"pos": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c) in enumerate(p.parts)]
+    return [{"pos": i, "kind": k, "text": t, "digest": d, "caption": c} for i, (k, t, d, c, _) in enumerate(p.finish())]
 
 
 def interleave(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

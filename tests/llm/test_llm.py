@@ -180,6 +180,20 @@ def test_media_round_trip_and_order():
         media.from_png(media.to_png(b"abc")[:-6] + b"??????")
 
 
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<figure><figcaption>C</figcaption><img src=x></figure>D", [(None, "C"), ("D", None)]),
+        ("<figure><table><tr><td>1</table><figcaption>C</figcaption></figure>D", [("1", None), ("C", None), ("D", None)]),
+        ("a<figure><img src=x alt=A><figcaption>C<p>b</p>c<img src=y>d", [("a", None), (None, "A"), ("C", None), ("b", None), ("c", None), (None, None), ("d", None)]),
+        ("<figure><figure><img src=x></figure><img src=y><figcaption>C</figcaption></figure>", [(None, "C"), (None, "C")]),
+        ("<figure><img src=x><figcaption>C</figcaption>D<img src=y>", [(None, "C"), ("D", None), (None, None)]),
+    ],
+)
+def test_no_caption_is_lost(page, want):
+    assert [(p["text"], p["caption"]) for p in media.interleaved(page)] == want
+
+
 def test_media_of_equal_texts(spark):
     got = media.document_media(spark.createDataFrame([(1, "äb"), (2, "äb"), (3, None)], "doc_id long, text string")).collect()
     by = {r.doc_id: r for r in got}
