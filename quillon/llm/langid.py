@@ -27,21 +27,19 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillon.llm.common import cut, own_columns, runs, utf8
 from quillon.llm.toxicity import score_column
-from quillon.llm.training import TRAIN_CHARS, remainder
+from quillon.llm.training import PIECES, TRAIN_CHARS, excerpt, remainder  # noqa: F401
 from quillon.llm.words import WordTable, framed, grams, lowered, spans
 
 #: Rows learned from, per language.
 TRAIN_DOCS = 400
 #: LANGUAGE_CHAINS hold some 470 segments of each language, more than it has rows to learn from.
 CHAIN, CHAINS, LANGUAGE_CHAINS = 40, 3000, 200
-#: Of a text beyond TRAIN_CHARS, this many pieces with TRAIN_CHARS characters together are learned from.
-PIECES = 10
 FEATURES = 1 << 17
 STEPS = 60
 #: Words times labels that training holds at once.
@@ -219,15 +217,6 @@ def code_switched(texts: dict[str, list[bytes]], languages: list[str]) -> list[l
     return chains
 
 
-def excerpt(text: Column) -> Column:
-    """text, or of one beyond TRAIN_CHARS, PIECES pieces evenly over its length without the words cut at their ends."""
-    size = TRAIN_CHARS // PIECES
-    far = (F.length(text) - size).cast("double") / (PIECES - 1)
-    ends = {0: r"\s\S{0,64}$", PIECES - 1: r"^\S{0,64}\s"}
-    pieces = [F.regexp_replace(F.substring(text, F.floor(far * k).cast("int") + 1, F.lit(size)), ends.get(k, r"^\S{0,64}\s|\s\S{0,64}$"), " ") for k in range(PIECES)]
-    return F.when(F.length(text) <= TRAIN_CHARS, text).otherwise(F.concat_ws(" ", *pieces))
-
-
 def train(docs: DataFrame) -> Field | None:
     """A field learned from text and lang of rows whose crc32 modulo 4 isn't 2."""
     rows = own_columns(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())

@@ -1,19 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Toxic and ordinary text each get a Kneser-Ney model over the characters of
-words. The highest order has counts of the class alone; all lower orders are
-continuation counts shared by both classes, so a rare expression, inflected or
-compounded, is smoothed by what both know of its parts. A word's two
-log-likelihoods are compared per character; a document's score is calibrated
-on the mean difference over its length, its highest window of eight words, and
-how many words clearly lean to toxic.
-
-The models are fitted on at most TRAIN_DOCS labelled rows, a documented bound;
-every document is scored on its whole text.
+words, counted once a document. The highest order has counts of the class
+alone; all lower orders are continuation counts shared by both classes, so a
+rare expression, inflected or compounded, is smoothed by what both know of its
+parts. A word's two log-likelihoods are compared; a document's score is
+calibrated on their mean difference per character, on its three words that
+lean to toxic most, on how many lean so by LEAN or more, and on how many
+distinct words it has, by which the best of many must be judged.
+
+The models are fitted on at most TRAIN_DOCS labelled rows, a documented bound,
+and the calibration on features that models of the other half of these rows
+give; every document is scored on its whole text.
 
 Defined cases: null or empty texts get the score of a text without evidence;
-without labelled rows of both kinds every score is 0; repeated rows are scored
-each; other columns are not looked at.
+without labelled rows of both kinds (in either half) every score is 0;
+repeated rows are scored each; a null doc_id is kept and never held out; an
+empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,42 +28,51 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import give_back, own_columns, runs, slices, utf8
 from quillon.llm.training import labelled_texts, logistic, remainder
-from quillon.llm.words import WordTable, framed, grams, lowered, spans
+from quillon.llm.words import WordTable, framed, gram_levels, lowered, spans
 
 TRAIN_DOCS = 6000
-ORDER, DISCOUNT = 6, 0.75
+ORDER, DISCOUNT = 10, 0.75
+#: Difference of log-likelihoods from which on a word counts as leaning to toxic; words that are averaged as the best.
+LEAN, BEST = 4.0, 3
 THRESHOLD = 0.7
 SLICE = 1 << 20
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 
 class Table:
-    """Values by 64-bit key: a hash table with two places for each key."""
+    """Values by 64-bit key, in 12 bytes an entry: sorted by key, with a first-bits index.
+
+    An entry keeps 32 bits beyond those of its index, so a key that isn't
+    there is taken for another once in some four billion look-ups.
+    """
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        size = 1 << max(10, int(4 * len(keys)).bit_length())
-        self.mask = np.uint64(size - 1)
-        self.keys, self.values = np.zeros(size, np.uint64), np.zeros(size, np.float32)
-        taken = np.zeros(size, bool)
-        left = np.arange(len(keys))
-        for shift in (0, 33):
-            slot = ((keys[left] >> np.uint64(shift)) & self.mask).astype(np.int64)
-            _, first = np.unique(slot, return_index=True)
-            first = first[~taken[slot[first]]]
-            taken[slot[first]] = True
-            self.keys[slot[first]], self.values[slot[first]] = keys[left[first]], values[left[first]]
-            left = np.delete(left, first)
-        self.rest_keys, self.rest_values = keys[left], values[left]  # few: both places were taken
-        order = np.argsort(self.rest_keys)
-        self.rest_keys, self.rest_values = self.rest_keys[order], self.rest_values[order]
+        self.bits = max(1, int(len(keys)).bit_length())
+        order = np.argsort(keys)
+        keys = keys[order]
+        self.tags, self.values = self._tag(keys), values[order].astype(np.float32)
+        self.first = np.searchsorted(self._slot(keys), np.arange((1 << self.bits) + 1)).astype(np.uint32)
+        self.most = int(np.diff(self.first).max(initial=0))
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _tag(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> np.uint64(32 - self.bits)).astype(np.uint32)
 
     def get(self, keys: np.ndarray, default: float) -> np.ndarray:
-        one, two = (keys & self.mask).astype(np.int64), ((keys >> np.uint64(33)) & self.mask).astype(np.int64)
-        hit_one, hit_two = self.keys[one] == keys, self.keys[two] == keys
-        out = np.where(hit_one, self.values[one], np.where(hit_two, self.values[two], np.float32(default)))
-        if len(self.rest_keys) and not (done := hit_one | hit_two).all():
-            at = np.minimum(np.searchsorted(self.rest_keys, keys), len(self.rest_keys) - 1)
-            out = np.where(~done & (self.rest_keys[at] == keys), self.rest_values[at], out)
+        out = np.full(len(keys), default, np.float32)
+        slot, tag = self._slot(keys), self._tag(keys)
+        at, end = self.first[slot].astype(np.int64), self.first[slot + 1]
+        left = np.flatnonzero(at < end)
+        for _ in range(self.most):
+            hit = self.tags[at[left]] == tag[left]
+            out[left[hit]] = self.values[at[left[hit]]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < end[left]]
+            if not len(left):
+                break
         return out
 
 
@@ -72,55 +84,76 @@ def _level(gram: np.ndarray, context: np.ndarray, count: np.ndarray) -> tuple[Ta
     return Table(gram, np.maximum(count - DISCOUNT, 0) / total[inverse]), Table(contexts, DISCOUNT * kinds / total)
 
 
+class _Longest:
+    """The longest gram that ends at each place, up to ORDER symbols or the word's frame, and its context."""
+
+    def __init__(self, place: np.ndarray):
+        self.place = place
+        self.reach = np.minimum(place, ORDER - 1)
+        self.key, self.context = (np.zeros(len(place), np.uint64) for _ in range(2))
+
+    def see(self, k: int, g: np.ndarray) -> None:
+        """g: the hashes of the k + 1 symbols that end at each place."""
+        at = np.flatnonzero(self.reach == k)
+        self.key[at] = g[at] + np.uint64(k)
+        at = np.flatnonzero((self.place >= 1) & (np.minimum(self.place - 1, ORDER - 2) == k))
+        self.context[at] = g[at - 1] + self.reach[at].astype(np.uint64)
+
+
 class KneserNey:
     """The two class-conditional models with their shared lower orders."""
 
     def __init__(self, words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray):
         raw, place, _ = framed(words)
-        count = [np.repeat(c, [len(w) + 2 for w in words]) for c in (ordinary, toxic)]
-        g = grams(raw, ORDER)
+        longest = _Longest(place)
+        below = gram = None
         self.shared = []
-        for k in range(1, ORDER):  # continuation counts: distinct longer grams by their end
-            ok = place >= min(k, 1)
-            longer = np.flatnonzero(ok & (place >= k))
-            whole = np.flatnonzero(ok & (place == k - 1)) if k > 1 else longer[:0]  # at a word's start nothing longer exists
-            _, first = np.unique(g[k][longer], return_index=True)
-            at = np.concatenate([longer[first], whole[np.unique(g[k - 1][whole], return_index=True)[1]]])
-            gram, where, n = np.unique(g[k - 1][at], return_index=True, return_counts=True)
-            context = g[k - 2][at[where] - 1] if k > 1 else np.zeros(len(gram), np.uint64)
-            self.shared.append(_level(gram, context, n.astype(float)))
+        for k, longer in enumerate(gram_levels(raw, ORDER)):  # continuation counts: distinct longer grams by their end
+            longest.see(k, longer)
+            if k:
+                at = np.flatnonzero((place >= 1) & (place >= k))
+                whole = np.flatnonzero(place == k - 1) if k > 1 else at[:0]  # at a word's start nothing longer exists
+                _, first = np.unique(longer[at], return_index=True)
+                at = np.concatenate([at[first], whole[np.unique(gram[whole], return_index=True)[1]]])
+                kind, where, n = np.unique(gram[at], return_index=True, return_counts=True)
+                context = below[at[where] - 1] if k > 1 else np.zeros(len(kind), np.uint64)
+                self.shared.append(_level(kind, context, n.astype(float)))
+            below, gram = gram, longer
+        del below, gram, longer
         self.own = []
-        for c in count:
+        size = np.diff(np.append(np.flatnonzero(place == 0), len(place)))
+        for count in (ordinary, toxic):
+            c = np.repeat(count, size)
             at = np.flatnonzero((place >= 1) & (c > 0))
-            # near a word's start the longest gram is the one from its frame
-            key = self._longest(g, place, at)
-            gram, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-            n = np.bincount(inverse, c[at])
-            context = self._context(g, place, at[where])
-            self.own.append(_level(gram, context, n))
-
-    @staticmethod
-    def _longest(g, place, at):
-        return np.choose(np.minimum(place[at], ORDER - 1), [x[at] for x in g]) + place[at].clip(max=ORDER - 1).astype(np.uint64)
-
-    @staticmethod
-    def _context(g, place, at):
-        return np.choose(np.minimum(place[at] - 1, ORDER - 2), [x[at - 1] for x in g[: ORDER - 1]]) + place[at].clip(max=ORDER - 1).astype(np.uint64)
+            kind, where, inverse = np.unique(longest.key[at], return_index=True, return_inverse=True)
+            self.own.append(_level(kind, longest.context[at[where]], np.bincount(inverse, c[at])))
 
     def word_values(self, words: list[bytes]) -> np.ndarray:
         """Columns: toxic less ordinary log-likelihood, and characters, of each word."""
         raw, place, starts = framed(words)
-        g = grams(raw, ORDER)
+        longest = _Longest(place)
         at = np.flatnonzero(place >= 1)
         p = np.full(len(at), 1 / 256, np.float32)
-        for k, (share, weight) in enumerate(self.shared, 1):
-            ok = place[at] >= k - 1
-            context = g[k - 2][at - 1] if k > 1 else np.zeros(len(at), np.uint64)
-            p = np.where(ok, share.get(g[k - 1][at], 0) + weight.get(context, 1) * p, p)
-        key, context = self._longest(g, place, at), self._context(g, place, at)
-        own = [np.log(share.get(key, 0) + weight.get(context, 1) * p) for share, weight in self.own]
+        alive, ended, below = np.arange(len(at)), [], None
+        for k, gram in enumerate(gram_levels(raw, ORDER)):
+            longest.see(k, gram)
+            if k < len(self.shared):
+                share, weight = self.shared[k]
+                goes_on = place[at[alive]] >= k
+                ended.append(alive[~goes_on])
+                alive = alive[goes_on]
+                known = weight.get(below[at[alive] - 1] if k else np.zeros(len(alive), np.uint64), -1)
+                # behind a context that was never seen no longer one was
+                alive, known = alive[known >= 0], known[known >= 0]
+                p[alive] = share.get(gram[at[alive]], 0) + known * p[alive]
+            below = gram
+        seen = np.concatenate([*ended, alive])
+        key, context = longest.key[at[seen]], longest.context[at[seen]]
+        own = [np.log(share.get(key, 0) + weight.get(context, 1) * p[seen]) for share, weight in self.own]
+        differ = np.zeros(len(at))
+        differ[seen] = own[1] - own[0]  # elsewhere both back off to the same
         of_word = np.cumsum(place[at] == 1) - 1
-        diff = np.bincount(of_word, own[1] - own[0], len(words))
+        diff = np.bincount(of_word, differ, len(words))
         return np.stack([diff, np.diff(np.append(starts, len(raw))) - 1], axis=1)
 
 
@@ -135,26 +168,23 @@ class Model:
         return {"kn": self.kn, "weights": self.weights, "table": None}
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Per text: 1, mean difference per character, best window of eight words, words that lean to toxic."""
+        """Per text: 1, mean difference per character, mean of its best distinct words, how many lean to toxic, how many there are."""
         if self.table is None:
             self.table = WordTable(self.kn.word_values, 2)
         data, starts, ends, words = spans(lowered(texts))
-        v = self.table.look_up(data, starts, ends).astype(np.float64)
-        last = np.cumsum(words)
+        number = self.table.numbers(data, starts, ends)
+        value = self.table.values[:, 0].astype(np.float64)
         text = np.repeat(np.arange(len(texts)), words)
-        total = np.bincount(text, v[:, 0], len(texts)), np.bincount(text, v[:, 1], len(texts))
-        sums = [np.concatenate([[0.0], np.cumsum(v[:, k])]) for k in (0, 1)]
-        begin = np.maximum(np.arange(len(v)) - 7, np.repeat(last - words, words))
-        span = [s[1:] - s[begin] for s in sums]
-        per = span[0] / np.maximum(span[1], 20)
-        lean = v[:, 0] / np.maximum(v[:, 1], 4)
-        best, word = np.zeros(len(texts)), np.zeros(len(texts))
-        full = np.flatnonzero(words)
-        if len(full):
-            best[full] = np.maximum.reduceat(per, (last - words)[full])
-            word[full] = np.maximum.reduceat(lean, (last - words)[full])
-        strong = np.bincount(text, lean > 0.5, len(texts))
-        return np.stack([np.ones(len(texts)), total[0] / np.maximum(total[1], 1), best, word, np.log1p(strong)], axis=1)
+        total = np.bincount(text, value[number], len(texts)) / np.maximum(np.bincount(text, ends - starts + 1, len(texts)), 1)
+        pair = np.unique(text << 32 | number)
+        text, diff = pair >> 32, value[pair & 0xFFFFFFFF]
+        kinds = np.bincount(text, minlength=len(texts))
+        lean = np.bincount(text, diff >= LEAN, len(texts))
+        order = np.lexsort((-diff, text))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(kinds) - kinds, kinds)
+        best = order[rank < BEST]
+        best = np.bincount(text[best], diff[best], len(texts)) / np.clip(kinds, 1, BEST)
+        return np.stack([np.ones(len(texts)), total, best, np.log1p(lean), np.log1p(kinds)], axis=1)
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = [self._calibrated(self.features(texts[lo:hi])) for lo, hi in runs([len(t) for t in texts], SLICE)]
@@ -164,34 +194,38 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
-def fit(texts: list[bytes], toxic: np.ndarray) -> Model | None:
-    """Models from one half of the sample, calibration from the other, then models from all."""
-    if len(set(toxic.tolist())) < 2:
-        return None
+def distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(words, text of each entry, word of each entry): every text's distinct words once."""
+    kinds: dict[bytes, int] = {}
+    owner, number = [], []
+    for i, t in enumerate(texts):
+        data, starts, ends, _ = spans(lowered([t]))
+        own = {kinds.setdefault(data[a:b], len(kinds)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
+        owner.append(np.full(len(own), i))
+        number.append(np.fromiter(own, np.int64, len(own)))
+    return list(kinds), np.concatenate(owner), np.concatenate(number)
 
-    def model(rows: np.ndarray) -> KneserNey:
-        sides = []
-        for v in (0, 1):
-            side = [texts[i] for i in rows if toxic[i] == v]
-            found: dict[bytes, int] = {}
-            for lo, hi in runs([len(t) for t in side], SLICE):
-                data, starts, ends, _ = spans(lowered(side[lo:hi]))
-                for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                    found[w] = found.get(w := data[a:b], 0) + 1
-            sides.append(found)
-        words = sorted(set(sides[0]) | set(sides[1]))
-        return KneserNey(words, *(np.array([s.get(w, 0) for w in words], float) for s in sides))
 
+def fit(texts: list[bytes], toxic: np.ndarray) -> Model | None:
+    """Calibrated on what the models of either half give for the other; the models that score are of all rows."""
     half = np.arange(len(texts)) % 2 == 0
-    probe = Model(model(np.flatnonzero(half)), np.zeros(5))
-    rest = np.flatnonzero(~half)
-    if len(set(toxic[rest].tolist())) < 2:
+    if any(len(set(toxic[rows].tolist())) < 2 for rows in (half, ~half)):
         return None
-    x = np.concatenate([probe.features([texts[i] for i in rest[k : k + 500]]) for k in range(0, len(rest), 500)])
-    weights = logistic(x, toxic[rest], ridge=0.1)
-    del probe, x  # not held beside the models from all
-    give_back()
-    return Model(model(np.arange(len(texts))), weights)
+    kinds, owner, number = distinct_words(texts)
+
+    def models(rows: np.ndarray) -> KneserNey:
+        ordinary, bad = (np.bincount(number[rows[owner] & (toxic[owner] == v)], minlength=len(kinds)).astype(float) for v in (0, 1))
+        some = np.flatnonzero(ordinary + bad)
+        return KneserNey([kinds[k] for k in some.tolist()], ordinary[some], bad[some])
+
+    x = np.zeros((len(texts), 5))
+    for rows in (half, ~half):
+        probe, at = Model(models(~rows), np.zeros(5)), np.flatnonzero(rows)
+        for lo, hi in runs([len(texts[i]) for i in at], SLICE):
+            x[at[lo:hi]] = probe.features([texts[i] for i in at[lo:hi]])
+        del probe  # not held beside the next models
+        give_back()
+    return Model(models(np.ones(len(texts), bool)), logistic(x, toxic, ridge=0.1))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

@@ -8,8 +8,17 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import own_columns
 
-#: Texts beyond this many characters aren't learned from (they are scored in full).
-TRAIN_CHARS = 50_000
+#: Of a text beyond TRAIN_CHARS, PIECES pieces with so many characters together are learned from (all of it is scored).
+TRAIN_CHARS, PIECES = 50_000, 10
+
+
+def excerpt(text: Column) -> Column:
+    """text, or of one beyond TRAIN_CHARS, PIECES pieces evenly over its length without the words cut at their ends."""
+    size = TRAIN_CHARS // PIECES
+    far = (F.length(text) - size).cast("double") / (PIECES - 1)
+    ends = {0: r"\s\S{0,64}$", PIECES - 1: r"^\S{0,64}\s"}
+    pieces = [F.regexp_replace(F.substring(text, F.floor(far * k).cast("int") + 1, F.lit(size)), ends.get(k, r"^\S{0,64}\s|\s\S{0,64}$"), " ") for k in range(PIECES)]
+    return F.when(F.length(text) <= TRAIN_CHARS, text).otherwise(F.concat_ws(" ", *pieces))
 
 
 def remainder(doc_id: Column, n: int) -> Column:
@@ -31,9 +40,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
         return [], np.zeros(0, np.int64)
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.doc_id, r.label) for r in chosen], "doc_id long, label int")
-    texts = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where(F.length("text") <= TRAIN_CHARS)
+    texts = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where(F.col("text").isNotNull())
     # repeated rows of an id would unbound the sample: one text an id
-    got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).collect()
+    got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(excerpt(F.min("text")).alias("text"), F.max("label").alias("label")).collect()
     got.sort(key=lambda r: r.doc_id)
     return [r.text.encode() for r in got], np.array([r.label for r in got], np.int64)
 

@@ -52,10 +52,14 @@ class WordTable:
 
     def look_up(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The values of each word data[start:end], an array (words, width)."""
+        return self.values[self.numbers(data, starts, ends)]
+
+    def numbers(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where in ``values`` each word data[start:end] stands, until the next call."""
         if self.index.count > self.limit:
             self.clear()
         if not len(starts):
-            return np.zeros((0, self.width), np.float32)
+            return np.zeros(0, np.int64)
         key = word_keys(data, starts, ends)
         keys, first, inverse = distinct(key)
         found = self.index.find(keys)
@@ -67,7 +71,7 @@ class WordTable:
                 self.values = np.concatenate([self.values, self.values])
             self.values[n : n + len(new)] = self.compute(new)
             found[missing] = self.index.add(keys[missing])
-        return self.values[found[inverse]]
+        return found[inverse].astype(np.int64)
 
 
 def framed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -78,12 +82,18 @@ def framed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return raw, np.arange(len(raw)) - np.repeat(starts, sizes), starts
 
 
+def gram_levels(raw: np.ndarray, order: int):
+    """For k from 1 to order: the hash of the k symbols that end at each place, one array at a time."""
+    one = last = _BYTE_HASH[raw]
+    yield one ^ (one >> np.uint64(29))
+    for _ in range(order - 1):
+        step = np.empty_like(one)
+        step[0] = one[0]
+        step[1:] = last[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]
+        last = step
+        yield step ^ (step >> np.uint64(29))
+
+
 def grams(raw: np.ndarray, order: int) -> list[np.ndarray]:
     """grams[k - 1][i]: hash of the k symbols that end at i."""
-    out = [_BYTE_HASH[raw]]
-    for _ in range(order - 1):
-        step = np.empty_like(out[0])
-        step[0] = out[0][0]
-        step[1:] = out[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + out[0][1:]
-        out.append(step)
-    return [h ^ (h >> np.uint64(29)) for h in out]
+    return list(gram_levels(raw, order))
