@@ -35,6 +35,7 @@ ORDER, DISCOUNT = 10, 0.75
 #: Difference of log-likelihoods from which on a word counts as leaning to toxic; words that are averaged as the best.
 LEAN, BEST = 4.0, 3
 THRESHOLD = 0.7
+PARTS = 8
 SLICE = 1 << 20
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
@@ -76,85 +77,94 @@ class Table:
         return out
 
 
-def _level(gram: np.ndarray, context: np.ndarray, count: np.ndarray) -> tuple[Table, Table]:
-    """Discounted shares of grams and weights of their contexts, from distinct grams with counts."""
-    contexts, inverse = np.unique(context, return_inverse=True)
-    total = np.bincount(inverse, count)
-    kinds = np.bincount(inverse)
-    return Table(gram, np.maximum(count - DISCOUNT, 0) / total[inverse]), Table(contexts, DISCOUNT * kinds / total)
-
-
-class _Longest:
-    """The longest gram that ends at each place, up to ORDER symbols or the word's frame, and its context."""
-
-    def __init__(self, place: np.ndarray):
-        self.place = place
-        self.reach = np.minimum(place, ORDER - 1)
-        self.key, self.context = (np.zeros(len(place), np.uint64) for _ in range(2))
-
-    def see(self, k: int, g: np.ndarray) -> None:
-        """g: the hashes of the k + 1 symbols that end at each place."""
-        at = np.flatnonzero(self.reach == k)
-        self.key[at] = g[at] + np.uint64(k)
-        at = np.flatnonzero((self.place >= 1) & (np.minimum(self.place - 1, ORDER - 2) == k))
-        self.context[at] = g[at - 1] + self.reach[at].astype(np.uint64)
-
-
 class KneserNey:
-    """The two class-conditional models with their shared lower orders."""
+    """The two class-conditional models with their shared lower orders.
+
+    The highest order goes by the longest gram that ends at a place: ORDER
+    symbols, or fewer from the start of the word's frame. Grams are counted in
+    PARTS parts by their context, one behind the other, so that only a part's
+    sorting takes memory at a time.
+    """
 
     def __init__(self, words: list[bytes], ordinary: np.ndarray, toxic: np.ndarray):
-        raw, place, _ = framed(words)
-        longest = _Longest(place)
+        raw, place, starts = framed(words)
+        size = np.diff(np.append(starts, len(raw)))
+        place = np.minimum(place, ORDER).astype(np.uint8)
+        counts = [np.repeat(c.astype(np.float32), size) for c in (ordinary, toxic)]
+        self.shared, own = [], ([], [])
         below = gram = None
-        self.shared = []
-        for k, longer in enumerate(gram_levels(raw, ORDER)):  # continuation counts: distinct longer grams by their end
-            longest.see(k, longer)
+        for k, longer in enumerate(gram_levels(raw, ORDER)):
             if k:
-                at = np.flatnonzero((place >= 1) & (place >= k))
-                whole = np.flatnonzero(place == k - 1) if k > 1 else at[:0]  # at a word's start nothing longer exists
-                _, first = np.unique(longer[at], return_index=True)
-                at = np.concatenate([at[first], whole[np.unique(gram[whole], return_index=True)[1]]])
-                kind, where, n = np.unique(gram[at], return_index=True, return_counts=True)
-                context = below[at[where] - 1] if k > 1 else np.zeros(len(kind), np.uint64)
-                self.shared.append(_level(kind, context, n.astype(float)))
+                self.shared.append(_tables([self._continued(k, place, below, gram, longer)]))
+                longest = place == k if k < ORDER - 1 else place >= k
+                for c, level in zip(counts, own, strict=True):
+                    level.append(list(self._weighed(k, longest & (c > 0), gram, longer, c)))
             below, gram = gram, longer
-        del below, gram, longer
-        self.own = []
-        size = np.diff(np.append(np.flatnonzero(place == 0), len(place)))
-        for count in (ordinary, toxic):
-            c = np.repeat(count, size)
-            at = np.flatnonzero((place >= 1) & (c > 0))
-            kind, where, inverse = np.unique(longest.key[at], return_index=True, return_inverse=True)
-            self.own.append(_level(kind, longest.context[at[where]], np.bincount(inverse, c[at])))
+        self.own = [_tables(level) for level in own]
+
+    @staticmethod
+    def _continued(k, place, below, gram, longer):
+        """The level of grams of k symbols: continuation counts, distinct longer grams by their end."""
+        for at in _parts(below, place >= max(1, k - 1)) if k > 1 else [np.flatnonzero(place >= 1)]:
+            before = at[place[at] >= k]
+            whole = at[place[at] == k - 1] if k > 1 else at[:0]  # at a word's start nothing longer exists, which counts as one
+            at = np.concatenate([before[np.unique(longer[before], return_index=True)[1]], whole[np.unique(gram[whole], return_index=True)[1]]])
+            kind, where, count = np.unique(gram[at], return_index=True, return_counts=True)
+            yield kind, below[at[where] - 1] if k > 1 else np.zeros(len(kind), np.uint64), count
+
+    @staticmethod
+    def _weighed(k, used, gram, longer, count):
+        """The longest grams that have k symbols before the last, with the counts of a class."""
+        for at in _parts(gram, used):
+            kind, where, inverse = np.unique(longer[at], return_index=True, return_inverse=True)
+            yield kind + np.uint64(k), gram[at[where] - 1] + np.uint64(k), np.bincount(inverse, count[at], len(kind))
 
     def word_values(self, words: list[bytes]) -> np.ndarray:
         """Columns: toxic less ordinary log-likelihood, and characters, of each word."""
         raw, place, starts = framed(words)
-        longest = _Longest(place)
         at = np.flatnonzero(place >= 1)
-        p = np.full(len(at), 1 / 256, np.float32)
-        alive, ended, below = np.arange(len(at)), [], None
+        of_word = np.repeat(np.arange(len(words)), np.diff(np.append(starts, len(raw))) - 1)
+        place = np.minimum(place[at], ORDER).astype(np.uint8)
+        p, differ, alive, below = np.full(len(at), 1 / 256, np.float32), np.zeros(len(at)), np.arange(len(at)), None
         for k, gram in enumerate(gram_levels(raw, ORDER)):
-            longest.see(k, gram)
+            here = at[alive]
             if k < len(self.shared):
                 share, weight = self.shared[k]
-                goes_on = place[at[alive]] >= k
-                ended.append(alive[~goes_on])
-                alive = alive[goes_on]
-                known = weight.get(below[at[alive] - 1] if k else np.zeros(len(alive), np.uint64), -1)
-                # behind a context that was never seen no longer one was
-                alive, known = alive[known >= 0], known[known >= 0]
-                p[alive] = share.get(gram[at[alive]], 0) + known * p[alive]
+                known = weight.get(below[here - 1] if k else np.zeros(len(alive), np.uint64), -1)
+                # behind a context that was never seen no longer one was, and both classes back off to the same
+                alive, here, known = alive[known >= 0], here[known >= 0], known[known >= 0]
+                p[alive] = share.get(gram[here], 0) + known * p[alive]
+            if k:
+                longest = place[alive] == k if k < ORDER - 1 else np.ones(len(alive), bool)
+                done, there = alive[longest], here[longest]
+                key, context = gram[there] + np.uint64(k), below[there - 1] + np.uint64(k)
+                ordinary, toxic = (np.log(share.get(key, 0) + weight.get(context, 1) * p[done]) for share, weight in self.own)
+                differ[done] = toxic - ordinary
+                alive = alive[~longest]
             below = gram
-        seen = np.concatenate([*ended, alive])
-        key, context = longest.key[at[seen]], longest.context[at[seen]]
-        own = [np.log(share.get(key, 0) + weight.get(context, 1) * p[seen]) for share, weight in self.own]
-        differ = np.zeros(len(at))
-        differ[seen] = own[1] - own[0]  # elsewhere both back off to the same
-        of_word = np.cumsum(place[at] == 1) - 1
-        diff = np.bincount(of_word, differ, len(words))
-        return np.stack([diff, np.diff(np.append(starts, len(raw))) - 1], axis=1)
+        return np.stack([np.bincount(of_word, differ, len(words)), np.diff(np.append(starts, len(raw))) - 1], axis=1)
+
+
+def _parts(context: np.ndarray, used: np.ndarray):
+    """The used places, in PARTS parts by the hash that ends before each."""
+    part = np.full(len(used), PARTS, np.uint8)
+    for a in range(1, len(used), 1 << 16):  # in blocks, so that no second array of hashes is held
+        z = min(a + (1 << 16), len(used))
+        part[a:z] = context[a - 1 : z - 1] % np.uint64(PARTS)
+    part[~used] = PARTS
+    for n in range(PARTS):
+        yield np.flatnonzero(part == n)
+
+
+def _tables(levels) -> tuple[Table, Table]:
+    """Discounted shares of grams and weights of their contexts, from parts of (distinct grams, contexts, counts) that share no context."""
+    shares, weights = [], []
+    for gram, context, count in (part for level in levels for part in level):
+        contexts, inverse = np.unique(context, return_inverse=True)
+        total, kinds = np.bincount(inverse, count, len(contexts)), np.bincount(inverse, minlength=len(contexts))
+        shares.append((gram, (np.maximum(count - DISCOUNT, 0) / total[inverse]).astype(np.float32)))
+        weights.append((contexts, (DISCOUNT * kinds / total).astype(np.float32)))
+    return tuple(Table(*(np.concatenate(x) for x in zip(*side, strict=True))) for side in (shares, weights))
 
 
 class Model:
@@ -201,8 +211,8 @@ def distinct_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndar
     for i, t in enumerate(texts):
         data, starts, ends, _ = spans(lowered([t]))
         own = {kinds.setdefault(data[a:b], len(kinds)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)}
-        owner.append(np.full(len(own), i))
-        number.append(np.fromiter(own, np.int64, len(own)))
+        owner.append(np.full(len(own), i, np.int32))
+        number.append(np.fromiter(own, np.int32, len(own)))
     return list(kinds), np.concatenate(owner), np.concatenate(number)
 
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import own_columns
+from quillon.llm.common import own_columns, utf8
 
 #: Of a text beyond TRAIN_CHARS, PIECES pieces with so many characters together are learned from (all of it is scored).
 TRAIN_CHARS, PIECES = 50_000, 10
@@ -42,9 +42,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     ids = spark.createDataFrame([(r.doc_id, r.label) for r in chosen], "doc_id long, label int")
     texts = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where(F.col("text").isNotNull())
     # repeated rows of an id would unbound the sample: one text an id
-    got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(excerpt(F.min("text")).alias("text"), F.max("label").alias("label")).collect()
-    got.sort(key=lambda r: r.doc_id)
-    return [r.text.encode() for r in got], np.array([r.label for r in got], np.int64)
+    got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(excerpt(F.min("text")).alias("text"), F.max("label").alias("label")).toArrow().sort_by("doc_id")
+    return utf8(got.column("text")), got.column("label").to_numpy().astype(np.int64)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30, weights: np.ndarray | None = None) -> np.ndarray:

@@ -76,7 +76,7 @@ class WordTable:
 
 def framed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, place in word, start of each word) of words between FIRST and LAST."""
-    raw = np.frombuffer(b"".join(b"\x02" + w + b"\x03" for w in words), np.uint8)
+    raw = np.frombuffer(b"\x02" + b"\x03\x02".join(words) + b"\x03" if words else b"", np.uint8)
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
     starts = np.cumsum(sizes) - sizes
     return raw, np.arange(len(raw)) - np.repeat(starts, sizes), starts
@@ -84,16 +84,17 @@ def framed(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def gram_levels(raw: np.ndarray, order: int):
     """For k from 1 to order: the hash of the k symbols that end at each place, one array at a time."""
-    one = last = _BYTE_HASH[raw]
-    yield one ^ (one >> np.uint64(29))
+    last = _BYTE_HASH[raw]
+    yield last
     for _ in range(order - 1):
-        step = np.empty_like(one)
-        step[0] = one[0]
-        step[1:] = last[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]
+        step = _BYTE_HASH[raw]
+        for a in range(1, len(raw), 1 << 16):  # in blocks, so that no second array is held
+            z = min(a + (1 << 16), len(raw))
+            step[a:z] += last[a - 1 : z - 1] * np.uint64(0x9E3779B97F4A7C15)
         last = step
-        yield step ^ (step >> np.uint64(29))
+        yield step
 
 
 def grams(raw: np.ndarray, order: int) -> list[np.ndarray]:
-    """grams[k - 1][i]: hash of the k symbols that end at i."""
-    return list(gram_levels(raw, order))
+    """grams[k - 1][i]: hash of the k symbols that end at i, its low bits mixed."""
+    return [h ^ (h >> np.uint64(29)) for h in gram_levels(raw, order)]
