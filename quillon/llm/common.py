@@ -20,14 +20,16 @@ BROADCAST_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where that setting is missing (tests, a single machine) a temporary
-    folder of this machine takes its place.
+    Only where that setting is missing on a single machine, as in tests, a
+    temporary folder takes its place; on a cluster that is an error.
     """
     given = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not given:
         given = context.getCheckpointDir()
         if not given:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quillon-"))
             given = context.getCheckpointDir()
     elif not context.getCheckpointDir():
