@@ -42,6 +42,7 @@ SPREAD = LENGTH - GRAM + 1
 CHUNK, PRINT_BUCKET, CONTEXT_BUCKET = 2 << 20, 1 << 21, 1 << 19
 #: Period of the difference cover.
 V = 32
+#: Stands for a null doc_id, beside a flag that tells it from the id of this value; also where nothing is known yet.
 LAST_ID = np.iinfo(np.int64).max
 CHUNKS = "chunk long, doc_ids array<long>, sizes array<int>, digests array<binary>, texts binary, rest binary, prints binary, n_prints long"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -184,16 +185,37 @@ def suffix_classes(text: np.ndarray, starts: np.ndarray, sample: CoverSample) ->
     return order, np.cumsum(new)
 
 
-def repeated_windows(contexts: list[tuple[bytes, int]], least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(least doc_id of each window of each context, first window of each context).
+class Holders:
+    """The least doc_id of each group, and whether the group has one at all; a null comes behind all."""
+
+    def __init__(self, count: int):
+        self.least, self.known = np.full(count, LAST_ID, np.int64), np.zeros(count, bool)
+
+    def add(self, group: np.ndarray, least: np.ndarray, known: np.ndarray) -> Holders:
+        np.minimum.at(self.least, group, np.where(known, least, LAST_ID))
+        self.known[group[known]] = True
+        return self
+
+    def take(self, at) -> Holders:
+        out = Holders(0)
+        out.least, out.known = self.least[at], self.known[at]
+        return out
+
+    def before(self, doc: np.ndarray, null: np.ndarray) -> np.ndarray:
+        """Whether each group has a smaller doc_id than the one given for it."""
+        return (self.known & null) | (~null & (self.least < doc))
+
+
+def repeated_windows(contexts: list[tuple[bytes, int]], holders: Holders) -> tuple[Holders, np.ndarray]:
+    """(who holds each window of each context, first window of each context).
 
     contexts: distinct (bytes, distance from the first window to the anchor);
-    least: the least doc_id that holds the context.
+    holders: who holds each context.
     """
     sizes = np.array([len(c) for c, _ in contexts])
     windows = sizes - LENGTH + 1
     slot = np.cumsum(windows) - windows
-    out = np.repeat(least, windows)
+    out = holders.take(np.repeat(np.arange(len(contexts)), windows))
     # a context that alone has the bytes of its anchor shares no window
     grams: dict[bytes, int] = {}
     gram = np.fromiter((grams.setdefault(c[o : o + GRAM], len(grams)) for c, o in contexts), np.int64, len(contexts))
@@ -219,9 +241,9 @@ def repeated_windows(contexts: list[tuple[bytes, int]], least: np.ndarray) -> tu
         context, offset = np.nonzero(reach == distance)
         if len(context):
             order, group = suffix_classes(text, base[context] + offset, sample)
-            first = np.full(int(group[-1]) + 1, LAST_ID, np.int64)
-            np.minimum.at(first, group, least[sort][context[order]])
-            out[base_slot[context[order]] + offset[order]] = first[group]
+            mine, at = holders.take(sort[context[order]]), base_slot[context[order]] + offset[order]
+            first = Holders(int(group[-1]) + 1).add(group, mine.least, mine.known).take(group)
+            out.least[at], out.known[at] = first.least, first.known
     return out, slot
 
 
@@ -244,7 +266,7 @@ def _chunks(batches, bits: int):
     give_back()
     number = TaskContext.get().partitionId() << 32
     for b in batches:
-        texts, ids = utf8(b.column("text")), [LAST_ID if i is None else i for i in b.column("doc_id").to_pylist()]
+        texts, ids = utf8(b.column("text")), b.column("doc_id").to_pylist()
         for lo, hi in runs([len(x) for x in texts], CHUNK):
             whole = b"".join(texts[lo:hi])
             sizes = np.array([len(x) for x in texts[lo:hi]])
@@ -257,6 +279,11 @@ def _chunks(batches, bits: int):
             number += 1
 
 
+def _ids(doc_ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, which are null)."""
+    return np.array([LAST_ID if i is None else i for i in doc_ids], np.int64), np.array([i is None for i in doc_ids], bool)
+
+
 def bucket_of(prints: np.ndarray, buckets: int) -> np.ndarray:
     return (prints % np.uint64(buckets)).astype(np.int64)
 
@@ -286,18 +313,19 @@ def shared_prints(chunks: DataFrame, buckets: int) -> DataFrame:
         return pa.table({"chunk": pa.array([r[0] for r in rows], pa.int64()), "shared": pa.array([r[1] for r in rows], pa.binary())})
 
     dealt = chunks.select("chunk", "prints").mapInArrow(deal, "bucket int, chunk long, part binary")
-    return dealt.groupBy("bucket").applyInArrow(meet, "chunk long, shared binary")
+    return dealt.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(meet, "chunk long, shared binary")
 
 
 def copies(chunks: DataFrame) -> DataFrame:
     """(chunk, gone): the rows of each chunk that are copies of a document with a smaller doc_id."""
     each = chunks.select("chunk", F.posexplode(F.arrays_zip("digests", "doc_ids", "sizes")).alias("row", "r")).where(F.col("r.sizes") >= LENGTH)
     each = each.select("chunk", "row", F.col("r.digests").alias("digest"), F.col("r.doc_ids").alias("doc"))
-    least = cut(each.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most"))
-    return each.join(least, "digest").where("doc > least").groupBy("chunk").agg(F.collect_list("row").alias("gone"))
+    found = each.groupBy("digest").agg(F.min("doc").alias("least"), F.max("doc").alias("most"), F.count_if(F.col("doc").isNull()).alias("nulls"))
+    least = cut(found.where("least < most OR (least IS NOT NULL AND nulls > 0)").select("digest", "least"))
+    return each.join(least, "digest").where("doc > least OR doc IS NULL").groupBy("chunk").agg(F.collect_list("row").alias("gone"))
 
 
-CONTEXT = np.dtype([("doc", "<i8"), ("row", "<i4"), ("lo", "<i4"), ("before", "<i2"), ("size", "<i2")])
+CONTEXT = np.dtype([("doc", "<i8"), ("row", "<i4"), ("lo", "<i4"), ("before", "<i2"), ("size", "<i2"), ("null", "?")])
 SPAN = np.dtype([("row", "<i4"), ("lo", "<i4"), ("hi", "<i4")])
 
 
@@ -317,14 +345,13 @@ def contexts(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
                 row = np.searchsorted(ends, place, "right")
                 keep = ~copy[row] & (shared[np.minimum(np.searchsorted(shared, prints), len(shared) - 1)] == prints)
                 place, lo, hi, prints, row = place[keep], lo[keep], hi[keep], prints[keep], row[keep]
-                doc = np.array(r["doc_ids"], np.int64)[row]
+                doc, null = _ids(r["doc_ids"])
+                doc, null = doc[row], null[row]
                 text = [whole[a:z] for a, z in zip(lo.tolist(), (hi + LENGTH).tolist(), strict=True)]
                 before = place - lo
                 kinds: dict[tuple, int] = {}
                 kind = np.fromiter((kinds.setdefault(k, len(kinds)) for k in zip(text, before.tolist(), strict=True)), np.int64, len(text))
-                least = np.full(len(kinds), LAST_ID, np.int64)
-                np.minimum.at(least, kind, doc)
-                gone = doc > least[kind]
+                gone = Holders(len(kinds)).add(kind, doc, ~null).take(kind).before(doc, null)
                 start = lo - (ends - sizes)[row]
                 spans = np.zeros(int(gone.sum() + copy.sum()), SPAN)
                 whole_rows = np.flatnonzero(copy)
@@ -338,7 +365,7 @@ def contexts(chunks: DataFrame, buckets: int, bits: int) -> DataFrame:
                 parts = []
                 for at in np.split(left, first[1:]) if len(left) else []:
                     head = np.zeros(len(at), CONTEXT)
-                    head["doc"], head["row"], head["lo"], head["before"] = doc[at], row[at], start[at], before[at]
+                    head["doc"], head["null"], head["row"], head["lo"], head["before"] = doc[at], null[at], row[at], start[at], before[at]
                     head["size"] = hi[at] - lo[at] + LENGTH
                     parts.append(squeeze(len(at).to_bytes(4, "little") + head.tobytes() + b"".join([text[i] for i in at.tolist()])))
                 n = len(parts)
@@ -369,15 +396,13 @@ def _settle(table: pa.Table) -> pa.Table:
         heads.append(head)
     if heads:
         head, owner = np.concatenate(heads), np.array(owner)
-        least = np.full(len(kinds), LAST_ID, np.int64)
-        np.minimum.at(least, owner, head["doc"])
-        flat, begin = repeated_windows(list(kinds), least)
-        windows = np.diff(np.append(begin, len(flat)))
+        flat, begin = repeated_windows(list(kinds), Holders(len(kinds)).add(owner, head["doc"], ~head["null"]))
+        windows = np.diff(np.append(begin, len(flat.least)))
         # each occurrence's windows that a smaller doc_id has
         n = windows[owner]
         which = np.repeat(np.arange(len(owner)), n)
         offset = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        gone = flat[begin[owner][which] + offset] < head["doc"][which]
+        gone = flat.take(begin[owner][which] + offset).before(head["doc"][which], head["null"][which])
         which, offset = which[gone], offset[gone]
         new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (offset[1:] != offset[:-1] + 1)]) if len(which) else np.zeros(0, np.int64)
         last = np.r_[new[1:], len(which)] - 1 if len(which) else new
@@ -408,7 +433,7 @@ def _cut_out(r: dict) -> list[tuple[int | None, bytes, np.ndarray]]:
     spans = spans[np.argsort(spans["row"], kind="stable")]
     edge = np.searchsorted(spans["row"], np.arange(len(r["sizes"]) + 1))
     for k, (doc, n) in enumerate(zip(r["doc_ids"], r["sizes"], strict=True)):
-        rows.append((None if doc == LAST_ID else doc, whole[at : at + n], removed_runs(spans[edge[k] : edge[k + 1]])))
+        rows.append((doc, whole[at : at + n], removed_runs(spans[edge[k] : edge[k + 1]])))
         at += n
     return rows
 
@@ -433,7 +458,7 @@ def with_spans(docs: DataFrame, carry: bool = False) -> DataFrame:
     whole = chunks.select("chunk", "doc_ids", "sizes", "texts", "rest")
     shared = shared_prints(chunks, meet).groupBy("chunk").agg(F.collect_list("shared").alias("shared"))
     near = contexts(slim.join(shared, "chunk").join(copies(chunks), "chunk", "left"), sort, bits)
-    spans = near.groupBy("bucket").applyInArrow(_settle, "chunk long, spans binary")
+    spans = near.repartition(sort, "bucket").groupBy("bucket").applyInArrow(_settle, "chunk long, spans binary")
     return whole.join(spans.groupBy("chunk").agg(F.collect_list("spans").alias("spans")), "chunk", "left")
 
 
