@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillon.llm.common import cut, own_columns, runs, utf8
+from quillon.llm.common import own_columns, runs, utf8
 from quillon.llm.toxicity import score_column
 from quillon.llm.training import PIECES, TRAIN_CHARS, excerpt, remainder  # noqa: F401
 from quillon.llm.words import WordTable, framed, grams, lowered, spans
@@ -218,19 +218,24 @@ def code_switched(texts: dict[str, list[bytes]], languages: list[str]) -> list[l
 
 
 def train(docs: DataFrame) -> Field | None:
-    """A field learned from text and lang of rows whose crc32 modulo 4 isn't 2."""
-    rows = own_columns(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    rows = rows.where((remainder(F.col("doc_id").cast("long"), 4) != 2) & (F.length("text") > 0))
-    ids = cut(rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h")).distinct())
-    # the least hashes of each language: only those below about four times the wanted share are ranked
-    most = ids.groupBy("lang").count().select("lang", (F.lit(4.0 * TRAIN_DOCS) / F.col("count")).alias("share"))
-    near = ids.join(F.broadcast(most), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.col("share"))
+    """A field learned from text and lang of rows whose crc32 modulo 4 isn't 2.
+
+    Two passes: rows per language, then the rows with the least hashes of each
+    language, of which only those below about four times the wanted share leave
+    their task, cut to excerpts.
+    """
+    rows = own_columns(docs, "doc_id", "lang", "text").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.where(remainder(F.col("doc_id").cast("long"), 4) != 2)
+    # as many rows as there are languages to learn, each of which takes a column of the model
+    share = rows.groupBy("lang").count().select("lang", (F.lit(4.0 * TRAIN_DOCS) / F.col("count")).alias("share"))
+    low = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= F.col("share")
+    near = rows.join(F.broadcast(share), "lang").where(low & (F.length("text") > 0))
+    near = near.groupBy("lang", F.xxhash64("doc_id").alias("h"), "doc_id").agg(excerpt(F.min("text")).alias("text"))
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id")))
-    chosen = cut(ranked.where(F.col("rank") <= TRAIN_DOCS).select("lang", "doc_id"))
-    got = rows.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", excerpt(F.col("text")).alias("text"))
+    got = ranked.where(F.col("rank") <= TRAIN_DOCS).select("lang", "doc_id", "text").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     texts: dict[str, list[bytes]] = {}
-    for r in sorted(got.groupBy("lang", "doc_id").agg(F.min("text").alias("text")).collect(), key=lambda r: (r.lang, r.doc_id)):
-        texts.setdefault(r.lang, []).append(r.text.encode())
+    for lang, text in zip(got.column("lang").to_pylist(), utf8(got.column("text")), strict=True):
+        texts.setdefault(lang, []).append(text)
     return fit(texts)
 
 
