@@ -1,6 +1,6 @@
 """Text analysis as Column expressions: char filters, tokenizers, token filters.
 
-Everything stays in code generation; a configuration is composed once and
+All but the Porter stemmers stays in code generation; a configuration is composed once and
 applied to a whole column. Positions are indices into the filtered term list.
 """
 
@@ -11,6 +11,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillon.functions.stem import STEMMERS, stems
+
 # The 33 English stopwords of the analyzer.
 STOPWORDS = (
     "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or",
@@ -124,6 +126,7 @@ class AnalyzerConfig:
             ("split", self.split, split_inner),
             ("stopwords", self.stopwords, lambda a: F.filter(a, lambda t: ~t.isin(*STOPWORDS))),
             ("stem_light", self.stemmer == "light", lambda a: F.transform(a, stem_light)),
+            (f"stem_{self.stemmer}", self.stemmer in STEMMERS, lambda a: stems(a, self.stemmer)),
         )
         for name, on, step in steps:
             if on:
@@ -136,6 +139,9 @@ class AnalyzerConfig:
 
 
 DEFAULT = AnalyzerConfig()
-ENGLISH = replace(DEFAULT, stopwords=True, stemmer="light")
+ENGLISH = replace(DEFAULT, stopwords=True, stemmer="porter")
+ENGLISH_LIGHT = replace(ENGLISH, stemmer="light")
+#: What the JSON dialect's English is.
+ENGLISH_JSON = replace(ENGLISH, tokenizer="unicode", stemmer="porter_json")
 KEYWORD = AnalyzerConfig(tokenizer="keyword", lowercase=False)
-PRESETS = {"default": DEFAULT, "english": ENGLISH, "keyword": KEYWORD}
+PRESETS = {"default": DEFAULT, "english": ENGLISH, "english_light": ENGLISH_LIGHT, "english_json": ENGLISH_JSON, "keyword": KEYWORD}
