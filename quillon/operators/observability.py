@@ -53,3 +53,14 @@ class Capacity:
         most = max(1, *nodes.values())
         binding = next((k.removeprefix("for_") for k, n in nodes.items() if n == most), "storage")
         return nodes | {"bytes": stored, "nodes": most, "binding": binding}
+
+
+UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
+
+
+def format_bytes(size: float) -> str:
+    """A size in the largest unit of which it has one, up to petabytes: three digits at most behind whole bytes."""
+    unit = 0
+    while size >= 1024 and unit < len(UNITS) - 1:
+        size, unit = size / 1024, unit + 1
+    return f"{size:.{0 if size >= 100 or not unit else 1}f} {UNITS[unit]}"
