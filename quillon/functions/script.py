@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|([A-Za-z_][\w.]*(?:\['\w+'\](?:\.value)?)?)|(&&|\|\||[<>=!]=|[-+*/%<>?:(),]))")
 BINDING = {"||": 1, "&&": 2, "==": 3, "!=": 3, "<": 4, "<=": 4, ">": 4, ">=": 4, "+": 5, "-": 5, "*": 6, "/": 6, "%": 6}
-EXAMPLES = ("_score", "_score * (1 + rating / 5)", "price == 0 ? _score * 2 : _score", "_score / 0", "log1p(price) + min(_score, 3)")
 
 
 class ScriptError(ValueError):
@@ -176,6 +175,11 @@ class CompiledScript:
         return number(of(self.tree))
 
 
+def describe() -> dict:
+    """What the language has: functions with the number of their arguments, and operators with how strongly they bind."""
+    return {"functions": {name: n for name, (n, _) in FUNCTIONS.items()}, "operators": dict(BINDING), "conditional": "a ? b : c"}
+
+
 def compile_script(source: str) -> CompiledScript:
     try:
         return CompiledScript(source, _Parser(source).parse())

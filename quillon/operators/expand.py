@@ -10,7 +10,9 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.distance import osa_within
@@ -30,6 +32,16 @@ def literal_prefix(pattern: str) -> str:
     return re.split(r"[*?]", pattern, maxsplit=1)[0]
 
 
+def valid_pattern(pattern: str) -> bool:
+    """Whether the engine that matches it takes a pattern."""
+    spark = SparkSession.getActiveSession()
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def condition(q: ast.Expansion, term: Column) -> Column:
     """Whether a term fits an expansion."""
     if isinstance(q, ast.Prefix):
@@ -39,17 +51,13 @@ def condition(q: ast.Expansion, term: Column) -> Column:
         fits = term.like(like_pattern(q.value))
         return term.startswith(narrow) & fits if narrow else fits
     if isinstance(q, ast.Regexp):
-        try:
-            re.compile(q.value)
-        except re.error:
-            return F.lit(False)
-        return term.rlike(rf"\A(?:{q.value})\z")
+        return term.rlike(rf"\A(?:{q.value})\z") if valid_pattern(q.value) else F.lit(False)
     if isinstance(q, ast.Fuzzy):
         k = auto_edits(q.value) if q.edits is None else q.edits
         band = F.length(term).between(len(q.value) - k, len(q.value) + k) & term.startswith(q.value[: q.prefix])
-        if q.transpositions:
+        if q.transpositions:  # a swap is two plain edits, so twice the edits narrow the terms without Python
             within = F.pandas_udf(lambda s, v=q.value, k=k: pd.Series([osa_within(v, t, k) for t in s]), "boolean")
-            return band & within(term)
+            return band & (F.levenshtein(term, F.lit(q.value), 2 * k) >= 0) & within(term)
         return band & (F.levenshtein(term, F.lit(q.value), k) >= 0)
     raise TypeError(q)
 

@@ -14,9 +14,7 @@ from quillon.plans.compile import Compiler
 
 def explain_terms(index: Index, name: str, terms: list[str], bm25: Bm25 = Bm25()) -> DataFrame:  # noqa: B008
     """The parts of the score of each term in each document that has it."""
-    tokens = index.tokens.where(F.col("field") == name)
-    hits = tokens.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).where(F.col("term").isin(*terms))
-    tf = hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    tf = index.lookup({(name, t) for t in terms}).select("doc_id", "term", F.col("freq").alias("tf"), "length")
     freqs = index.doc_freqs({(name, t) for t in terms})
     df = F.element_at(F.create_map(*[x for t in terms for x in (F.lit(t), F.lit(float(freqs[(name, t)])))]), F.col("term"))
     out = tf.withColumn("idf", idf_column(F.lit(float(index.num_docs)), df))
@@ -25,28 +23,27 @@ def explain_terms(index: Index, name: str, terms: list[str], bm25: Bm25 = Bm25()
     return out.withColumn("score", F.col("idf") * F.col("tf_component"))
 
 
-def explain_document(index: Index, q: ast.Query, doc_id) -> dict:
-    """The score of one document and its parts, as a tree; value 0 where it doesn't match."""
-    compiler = Compiler(index)
-    plan = compiler.compile(q)
-    hit = plan.frame.where(F.col("doc_id") == doc_id).first()
-    if hit is None:
-        return {"value": 0.0, "description": f"{doc_id} doesn't match {q}", "details": []}
-    details = []
-    for name in sorted({f for f, _ in plan.terms}):
-        rows = explain_terms(index, name, sorted(t for f, t in plan.terms if f == name)).where(F.col("doc_id") == doc_id).orderBy("term").collect()
-        details += [
-            {"value": r.score, "description": f"{name}:{r.term}", "details": [{"value": r.idf, "description": "idf", "details": []}, {"value": r.tf_component, "description": f"saturation of tf {r.tf}", "details": []}, {"value": r.norm, "description": "length norm", "details": []}]}
-            for r in rows
-        ]
-    return {"value": hit.score, "description": str(q), "details": details}
+def explain_document(index: Index, q: ast.Query, doc_id, bm25: Bm25 = Bm25()) -> dict:  # noqa: B008
+    """The score of one document as a tree of clauses, each term's with its parts; value 0 where it doesn't match."""
+    compiler = Compiler(index, bm25)
+    tree = compiler.explain(q, doc_id)
+    asked = {t for leaf in compiler.leaves for t in leaf.terms}
+    parts = {}
+    for name in sorted({f for f, _ in asked}):
+        for r in explain_terms(index, name, sorted(t for f, t in asked if f == name), bm25).where(F.col("doc_id") == doc_id).collect():
+            parts[f"term {name}:{r.term}"] = [{"value": r.idf, "description": "idf", "details": []}, {"value": r.tf_component, "description": f"saturation of tf {r.tf}", "details": []}, {"value": r.norm, "description": "length norm", "details": []}]
+
+    def filled(node: dict) -> dict:
+        inner = [filled(x) for x in node["details"]] or parts.get(node["description"].split(", boost ")[0], [])
+        return node | {"details": inner}
+
+    return filled(tree)
 
 
 def matched_terms(index: Index, ids: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
     """(doc_id, matched_terms) of the given documents."""
-    hits = index.tokens.join(ids.select("doc_id"), "doc_id", "left_semi").select("doc_id", "field", F.explode("terms").alias("term"))
-    wanted = F.concat("field", F.lit(":"), "term")
-    return hits.where(wanted.isin(*[f"{f}:{t}" for f, t in terms])).groupBy("doc_id").agg(F.array_sort(F.collect_set(wanted)).alias("matched_terms"))
+    hits = index.lookup(set(terms)).join(ids.select("doc_id"), "doc_id", "left_semi")
+    return hits.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.concat("field", F.lit(":"), "term"))).alias("matched_terms"))
 
 
 def top(frame: DataFrame, k: int) -> DataFrame:
@@ -74,10 +71,10 @@ def query_then_fetch(frame: DataFrame, docs: DataFrame, k: int, columns: list[st
 
 
 def local_scores(postings: DataFrame, norms: DataFrame, part: str, bm25: Bm25 = Bm25()) -> DataFrame:  # noqa: B008
-    """(part, doc_id, score) with the statistics of each part alone. postings: (part, term, doc_id, tf); norms: (part, doc_id, length)."""
+    """(part, doc_id, score) with the statistics of each part alone. postings: (part, term, doc_id, tf, length); norms: (part, doc_id, length)."""
     stats = norms.groupBy(part).agg(F.count("*").alias("n"), F.avg("length").alias("average"))
     df = postings.groupBy(part, "term").agg(F.count("*").alias("df"))
-    rows = postings.join(norms, [part, "doc_id"]).join(df, [part, "term"]).join(stats, part)
+    rows = postings.join(df, [part, "term"]).join(stats, part)
     norm = bm25.k1 * ((1 - bm25.b) + bm25.b * F.col("length") / F.col("average"))
     value = idf_column(F.col("n").cast("double"), F.col("df").cast("double")) * F.col("tf") * (bm25.k1 + 1) / (F.col("tf") + norm)
     return rows.groupBy(part, "doc_id").agg(F.sum(value).alias("score"))

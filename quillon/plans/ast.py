@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass
 
 
@@ -46,6 +47,7 @@ class Match(Query):
     text: str = ""
     operator: str = "or"
     minimum: int | None = None
+    distinct: bool = dataclasses.field(default=False, compare=False)  # whether a term that the text repeats counts once
 
     def __str__(self):
         return f"{self.field}:{self.operator}({self.text})"
