@@ -1,8 +1,9 @@
 """Token files: a wavelet matrix per shard.
 
 Ids are kept as succinct bit-planes, highest bit first. A plane is packed to
-bits and carries the count of ones before each block, so ``rank`` takes one
-table look-up and one popcount, and ``select`` a binary search over blocks.
+bits; the counts of ones before each block are made when it is loaded, and
+with them ``rank`` takes one table look-up and one popcount, and ``select`` a
+binary search over places.
 Access to a token, counting an id in a range and finding its k-th occurrence
 go through the planes of one compressed file.
 

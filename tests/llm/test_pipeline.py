@@ -13,7 +13,7 @@ from quillon.llm.queries import documents, labels, vocabulary
 from test_minhash import brute_force as classes
 from test_suffix_dedup import brute_force as repeats
 
-SMALL = "/root/testdata/sf0.001"
+SMALL = "/root/testdata/sf0.01"
 
 
 def without_repeats(docs):
