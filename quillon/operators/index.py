@@ -136,8 +136,7 @@ class Index:
         if again := self.docs.where(key.isNotNull()).groupBy(key.alias("k")).count().where("count > 1").select("k").limit(1).collect():
             raise RepeatedKey(f"several documents have the key {again[0].k}")
         if buckets is None:
-            size = int(str(self.docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-            buckets = min(MOST_BUCKETS, max(1, -(-size // BUCKET_BYTES)))
+            buckets = min(MOST_BUCKETS, max(1, -(-self._bytes() // BUCKET_BYTES)))
         where = (F.crc32(F.col("term").cast("binary")) % buckets).cast("int")
         # the aggregation has dealt the rows by term and document, so a common term is spread over all tasks
         rows = self.postings.withColumn("bucket", where).sortWithinPartitions("field", "bucket", "term", "doc_id")
@@ -151,6 +150,14 @@ class Index:
         self.spark.createDataFrame(rows, STATS).coalesce(1).write.parquet(f"{path}/stats")
         return done
 
+    def _bytes(self) -> int:
+        """About the size of the documents: what the plan says, or where it knows nothing, their fields' bytes."""
+        said = int(str(self.docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        if said < 1 << 60:
+            return said
+        each = [F.octet_length(F.col(f"`{n}`").cast("string")) for n in self.mapping.indexed()]
+        return self.docs.agg(F.sum(sum((F.coalesce(x, F.lit(0)) for x in each), F.lit(0)))).first()[0] or 0
+
     @staticmethod
     def read(docs: DataFrame, mapping: Mapping, path: str) -> StoredIndex:
         """The index stored below path, of the same documents."""

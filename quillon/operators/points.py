@@ -1,7 +1,8 @@
 """Points in trees, a shard at a time.
 
-A shard is a range of x, so a box skips the shards apart from it before a tree
-is built; each shard's tree is one task's.
+A shard is what a task reads of the points inside a box's bounds, which the
+scan checks first (a table that was written in ranges of x or y skips the row
+groups apart from the box), at most SHARD points to a tree.
 """
 
 from __future__ import annotations
@@ -38,11 +39,7 @@ def _plane(batches):
 
 
 def in_region(points: DataFrame, region: Region, kind: str = "bkd", leaf: int = 64) -> DataFrame:
-    """(id) of the points (id long, x, y double) inside a box, edges included, by trees.
-
-    Boxes that whole shards lie apart from are cut by the scan: the bounds are
-    conditions on the columns too.
-    """
+    """(id) of the points (id long, x, y double) inside a box, edges included, by trees."""
 
     def step(batches):
         for ids, xy in _planes(batches):

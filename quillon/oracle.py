@@ -39,6 +39,8 @@ def clause(q: ast.Query, constant: bool = False, k1: float = 1.2, b: float = 0.7
         return f"SELECT doc_id, {q.boost}::DOUBLE AS score FROM docs"
     if isinstance(q, ast.MatchNone):
         return "SELECT doc_id, 0.0::DOUBLE AS score FROM docs WHERE false"
+    if isinstance(q, ast.Ids):
+        return f"SELECT doc_id, {0.0 if constant else q.boost}::DOUBLE AS score FROM docs WHERE doc_id IN ({', '.join(map(str, q.values))})"
     if isinstance(q, ast.Term):
         return f"SELECT doc_id, {q.boost} * s AS score FROM scored WHERE field = {quoted(q.field)} AND term = {quoted(q.value)}"
     if isinstance(q, ast.Terms):

@@ -114,6 +114,16 @@ class Range(Query):
         return f"{self.field}:{'[' if self.gt is None else '{'}{self.gte if self.gt is None else self.gt} TO {self.lte if self.lt is None else self.lt}{']' if self.lt is None else '}'}"
 
 
+@dataclass(frozen=True)
+class Ids(Query):
+    """The documents with the given keys; a constant score."""
+
+    values: tuple = ()
+
+    def __str__(self):
+        return f"id:({' '.join(map(str, self.values))})"
+
+
 @dataclass(frozen=True)
 class GeoBox(Query):
     """Rows inside a rectangle, edges included; a constant score."""
@@ -151,3 +161,9 @@ class Script(Query):
 
     def __str__(self):
         return f"script({self.query}, {self.source})"
+
+
+def conjunction(*queries: Query) -> Query:
+    """All of some clauses, their scores added; those that are None are left out, a single one is itself."""
+    some = tuple(q for q in queries if q is not None)
+    return some[0] if len(some) == 1 else Bool(must=some)

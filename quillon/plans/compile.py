@@ -243,6 +243,8 @@ class Compiler:
             if (value := self.value(q.field)) is None:
                 return none
             return _Node(range_condition(q, value, dict(self.index.docs.dtypes)[q.field]), F.lit(float(q.boost) if scoring else 0.0), False)
+        if isinstance(q, ast.Ids):
+            return _Node(F.col("doc_id").isin(*q.values) if q.values else F.lit(False), F.lit(float(q.boost) if scoring else 0.0), False)
         if isinstance(q, ast.GeoBox):
             lat, lon = self.value(q.lat), self.value(q.lon)
             if lat is None or lon is None:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +9,6 @@ from pyspark.sql import functions as F
 from quillon import oracle
 from quillon.engine import Engine
 from quillon.functions import segment_files as files
-from quillon.functions.bm25 import idf_column
 from quillon.functions.codec import encode_postings
 from quillon.functions.stem import stems
 from quillon.operators import planner, points, ranking
@@ -148,13 +146,13 @@ def dict_block_bytes(spark, sf_dir):
     return _blocks(spark, sf_dir).groupBy("block").applyInArrow(step, "block long, first string, bytes long, raw_bytes long")
 
 
-@register("automaton_scan", f"{oracle.tables('part')} SELECT term FROM dict WHERE field = 'p_name' AND levenshtein(term, 'polishd') <= 2")
+@register("automaton_scan", f"{oracle.tables('part')} SELECT term FROM dict WHERE field = 'p_name' AND levenshtein(term, 'widgit') <= 2")
 def automaton_scan(spark, sf_dir):
     """Words within two edits by a distance automaton that runs over tries of the dictionary's partitions."""
     from quillon.functions.distance import LevenshteinAutomaton
 
     def step(batches):
-        automaton = LevenshteinAutomaton("polishd", 2)
+        automaton = LevenshteinAutomaton("widgit", 2)
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(words.Trie(b.column("term").to_pylist()).within(automaton).words, pa.string())], names=["term"])
 
@@ -370,4 +368,5 @@ def engine_range(spark, sf_dir):
     return spark.createDataFrame([(h["id"], h["score"]) for h in body["hits"]], "id string, score double")
 
 
+search("q_ids", ast.Bool(must=(ast.Ids(2.0, (3, 17, 400, 999_999)),), should=(ast.Term(1.0, "text", "the"),)))
 search("q_phrase_three", ast.Phrase(1.0, "text", "the of the", 6))

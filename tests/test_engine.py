@@ -139,3 +139,16 @@ def test_automaton_against_table():
 def test_observability():
     assert percentile([1, 2, 3, 4], 50) == 2 and percentile([], 50) == 0
     assert summarize([3.0, 1.0, 2.0])["max"] == 3.0
+
+
+def test_what_the_script_language_has():
+    from quillon.functions.script import describe
+
+    said = describe()
+    assert said["functions"]["pow"] == 2 and said["functions"]["log1p"] == 1 and said["operators"]["*"] > said["operators"]["+"] > said["operators"]["||"]
+
+
+def test_conjunction_and_ids(golden):
+    t = ast.Term(1.0, "title", "kubernetes")
+    assert ast.conjunction(None, t) is t
+    assert ids(golden, ast.conjunction(t, ast.Ids(1.0, ("D2", "D3", "nobody")))) == ["D3"] and ids(golden, ast.Ids(1.0, ())) == []
