@@ -94,8 +94,15 @@ def slices(batch: pa.RecordBatch, limit: int):
         yield batch.slice(lo, hi - lo)
 
 
-def give_back() -> None:
-    """Return memory that this worker no longer uses, such as an earlier stage's, to the system."""
+#: What a worker keeps between the tasks of a stage.
+KEPT: list[dict] = []
+
+
+def give_back(drop: bool = True) -> None:
+    """Return memory that this worker no longer uses to the system; with ``drop`` what it keeps for other stages goes too."""
+    if drop:
+        for kept in KEPT:
+            kept.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc alone has it

@@ -64,7 +64,7 @@ def piece_table(docs: DataFrame, vocabulary: str, kind: str, capacity: int, end_
     """The pieces of each document with digests of their ids, without a shuffle."""
 
     def step(batches):
-        give_back()
+        give_back(drop=False)
         for part in (x for b in batches for x in slices(b, SLICE)):
             flat, counts = encode_texts(utf8(part.column("text")), vocabulary, kind)
             flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")

@@ -16,7 +16,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 
-from quillon.llm.common import gather
+from quillon.llm.common import KEPT, gather
 
 #: Distinct pieces that a worker keeps.
 CACHE_PIECES = 1_000_000
@@ -264,6 +264,7 @@ def library_encoder(path: str, kind: str):
 
 
 _CACHES: dict[tuple, PieceCache] = {}
+KEPT.append(_CACHES)
 
 
 def encode_texts(texts: list[bytes], path: str, kind: str) -> tuple[np.ndarray, np.ndarray]:

@@ -243,9 +243,14 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
 
 def score_column(docs: DataFrame, model, schema: str, step) -> DataFrame:
-    """docs.mapInArrow with a model that goes to the executors once, by broadcast."""
+    """docs.mapInArrow with a model that goes to the executors once, by broadcast; a worker makes room before it loads it."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(lambda batches: step(batches, shared.value), schema)
+
+    def run(batches):
+        give_back()
+        yield from step(batches, shared.value)
+
+    return docs.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
@@ -267,7 +272,6 @@ def kept_rows(docs: DataFrame, model, keep) -> DataFrame:
     """The rows of docs, with all columns, whose text passes ``keep(texts, model) -> mask``; no shuffle."""
 
     def step(batches, m):
-        give_back()
         for b in (x for whole in batches for x in slices(whole, SLICE)):
             yield b.filter(pa.array(keep(utf8(b.column("text")), m)))
 
