@@ -52,7 +52,8 @@ class WordTable:
 
     def look_up(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The values of each word data[start:end], an array (words, width)."""
-        return self.values[self.numbers(data, starts, ends)]
+        number = self.numbers(data, starts, ends)  # first, as it may put another array in the place of values
+        return self.values[number]
 
     def numbers(self, data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where in ``values`` each word data[start:end] stands, until the next call."""

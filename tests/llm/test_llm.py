@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import Row
 
 import corpus_pipeline
-from quillon.llm import bpe, components, langid, media, minhash, packing, pieces, quality_classifier, quality_rules, suffix_dedup, token_files, toxicity
+from quillon.llm import bpe, components, langid, media, minhash, packing, pieces, quality_classifier, quality_rules, suffix_dedup, token_files, toxicity, words
 from quillon.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -335,6 +335,13 @@ def test_languages_of_code_switched_words():
     assert names == ["aa", "bb", "bb", "und", "und"] and scores[0] > 0.9 and 0.5 < scores[2] < 0.95 and scores[3] == 0.0
 
 
+def test_values_of_words_when_their_table_grows_or_is_cleared():
+    table = words.WordTable(lambda new: np.array([[int(w)] for w in new], float), 1, limit=6000)
+    for numbers in (range(9000), range(9000, 9100), range(9050, 20_000)):
+        data, starts, ends, _ = words.spans([" ".join(map(str, numbers)).encode()])
+        assert table.look_up(data, starts, ends)[:, 0].tolist() == list(numbers)
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     monkeypatch.setattr(langid, "CHAINS", 300)
     monkeypatch.setattr(langid, "LANGUAGE_CHAINS", 8)
