@@ -1,14 +1,19 @@
-"""Bounded, reproducible samples of labelled rows for the classifiers."""
+"""Labelled rows for the classifiers, all of them, and sums over their features."""
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import own_columns, utf8
+from quillon.llm.common import BROADCAST_ROWS, own_columns, slices, stored, utf8
 
-#: Of a text beyond TRAIN_CHARS, PIECES pieces with so many characters together are learned from (all of it is scored).
+#: Bytes of text whose features are computed at once; tasks that a pass over features has at most, so many sums reach the driver.
+BLOCK, PARTS = 4 << 20, 64
+#: Of a text beyond TRAIN_CHARS, PIECES pieces with so many characters together are learned from (op7; all of it is scored).
 TRAIN_CHARS, PIECES = 50_000, 10
 
 
@@ -46,6 +51,55 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     return utf8(got.column("text")), got.column("label").to_numpy().astype(np.int64)
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """doc_id, label and whole text (null: empty) of every labelled row for learning (crc32 modulo 3 not 1).
+
+    An id that is labelled repeatedly has its largest label. Only so many labels
+    as BROADCAST_ROWS are broadcast; with more of them the texts are shuffled.
+    """
+    rows = own_columns(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    rows = rows.where(remainder(F.col("doc_id"), 3) != 1).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
+    texts = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.where(remainder(F.col("doc_id"), 3) != 1)
+    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "doc_id")
+
+
+def feature_table(rows: DataFrame, features, width: int, name: str):
+    """rows with ``features(record batch) -> array (n, width)``, stored; gives ``totals(f)``.
+
+    f(x, label) gives a dictionary of arrays for a block of rows, and totals(f)
+    the sums by key over all blocks: added up in each task, then in the driver.
+    """
+
+    def step(batches):
+        for b in (x for whole in batches for x in slices(whole, BLOCK)):
+            x = np.ascontiguousarray(features(b), "<f8")
+            yield pa.RecordBatch.from_arrays([b.column("label").cast(pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
+
+    table = stored(rows.mapInArrow(step, "label int, x binary"), name).coalesce(PARTS)
+
+    def totals(f) -> dict:
+        def run(batches):
+            sums: dict = {}
+            for b in batches:
+                if b.num_rows:
+                    x = np.frombuffer(b"".join(b.column("x").to_pylist()), "<f8").reshape(-1, width)
+                    add(sums, f(x, b.column("label").to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(sums)], pa.binary())], names=["sums"])
+
+        sums: dict = {}
+        for part in table.mapInArrow(run, "sums binary").toArrow().column("sums").to_pylist():
+            add(sums, pickle.loads(part))
+        return sums
+
+    return totals
+
+
+def add(sums: dict, more: dict) -> None:
+    for key, value in more.items():
+        sums[key] = sums[key] + value if key in sums else value
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30, weights: np.ndarray | None = None) -> np.ndarray:
     """Newton's method for ridge logistic regression; x holds its own constant column."""
     w = np.zeros(x.shape[1])

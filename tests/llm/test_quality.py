@@ -1,6 +1,7 @@
 """Bradley-Terry against its likelihood, the quantile cut, and documents that weren't learned from."""
 
 import os
+import zlib
 
 import numpy as np
 import pytest
@@ -38,6 +39,29 @@ def test_weights_are_where_the_likelihood_of_pairs_is_greatest():
     assert all(loss(w + step) > loss(w) for step in 0.05 * rng.normal(size=(20, 4)))
 
 
+def test_all_pairs_of_the_labelled_rows_are_learned_from():
+    """The mean loss of each good document against each poor one, with its ridge, has no slope at the weights."""
+    texts, good = sample()
+    ranker = q.fit(texts, good, 0.4)
+    z = ranker.expand(np.array([q.features(t) for t in texts], float))
+    d = (z[good == 1][:, None] - z[good == 0][None]).reshape(-1, z.shape[1])
+    gradient = -(1 / (1 + np.exp(d @ ranker.weights))) @ d / len(d) + 20 / 40_000 * ranker.weights
+    assert np.abs(gradient).max() < 1e-4
+
+
+def test_no_labelled_row_and_no_part_of_a_text_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(q, "TRAIN_DOCS", 40, raising=False)  # once a bound
+    monkeypatch.setattr(q, "SINGLE", 10)
+    texts, good = sample(240)
+    texts[:6] = [t + b" word" * 4000 + b" ### $$$" * 4000 for t in texts[:6]]
+    table = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    marks = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    used = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 3 != 1]
+    got, want = q.train(table, marks), q.fit([texts[i] for i in used], good[used], good[used].mean())
+    assert np.allclose(got.weights, want.weights, atol=1e-6) and abs(got.cut - want.cut) < 1e-6
+    assert np.allclose(got.mean, want.mean) and np.allclose(got.spread, want.spread)
+
+
 @pytest.mark.parametrize("share", [0.1, 0.4, 0.9])
 def test_the_cut_is_the_quantile_of_strengths(share):
     """Weighed back to the labelled rows, the documents above the cut are the share that is good."""
