@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pickle
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import BROADCAST_ROWS, own_columns, slices, stored, utf8
+from quillon.llm.common import BROADCAST_ROWS, own_columns, slices, stored
 
 #: Bytes of text whose features are computed at once; tasks that a pass over features has at most, so many sums reach the driver.
 BLOCK, PARTS = 4 << 20, 64
@@ -31,37 +32,18 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[bytes], np.ndarray]:
-    """At most ``most`` texts and labels of rows for learning (crc32 modulo 3 not 1), of each label at most half.
-
-    The sample takes the least hashes of the id, so it is the same in any run
-    and order. Only the chosen ids, whose number is bounded, are broadcast.
-    """
-    rows = own_columns(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
-    rows = rows.where(remainder(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max(label).alias("label"))
-    rows = rows.withColumn("h", F.xxhash64("doc_id"))
-    chosen = [r for v in (0, 1) for r in rows.where(F.col("label") == v).orderBy("h", "doc_id").limit(most // 2).collect()]
-    if not chosen:
-        return [], np.zeros(0, np.int64)
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r.doc_id, r.label) for r in chosen], "doc_id long, label int")
-    texts = own_columns(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).where(F.col("text").isNotNull())
-    # repeated rows of an id would unbound the sample: one text an id
-    got = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(excerpt(F.min("text")).alias("text"), F.max("label").alias("label")).toArrow().sort_by("doc_id")
-    return utf8(got.column("text")), got.column("label").to_numpy().astype(np.int64)
-
-
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, how: str = "inner") -> DataFrame:
     """doc_id, label and whole text (null: empty) of every labelled row for learning (crc32 modulo 3 not 1).
 
-    An id that is labelled repeatedly has its largest label. Only so many labels
+    With ``how`` left the other rows stay, their label null. An id that is labelled repeatedly has its largest label. Only so many labels
     as BROADCAST_ROWS are broadcast; with more of them the texts are shuffled.
     """
     rows = own_columns(labels, "doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     rows = rows.where(remainder(F.col("doc_id"), 3) != 1).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
     texts = own_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.where(remainder(F.col("doc_id"), 3) != 1)
-    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "doc_id")
+    if how == "inner":
+        texts = texts.where(remainder(F.col("doc_id"), 3) != 1)
+    return texts.join(F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows, "doc_id", how)
 
 
 def feature_table(rows: DataFrame, features, width: int, name: str):
@@ -113,3 +95,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30,
         if np.abs(step).max() < 1e-8:
             break
     return w
+
+
+def slope(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> dict:
+    """What a step of ``logistic`` sums over rows."""
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return {"g": x.T @ (p - y), "h": (x * (p * (1 - p) + 1e-9)[:, None]).T @ x}
+
+
+def logistic_of(totals, width: int, ridge: float, steps: int = 30) -> np.ndarray:
+    """``logistic`` over the rows of a feature table."""
+    w = np.zeros(width)
+    for _ in range(steps):
+        sums = totals(partial(slope, w))
+        step = np.linalg.solve(sums["h"] + ridge * np.eye(width), sums["g"] + ridge * w)
+        w = w - step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w

@@ -3,12 +3,13 @@
 import collections
 import os
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import toxicity
+from quillon.llm import toxicity, windows
 from quillon.llm.queries import op6_toxicity
 from quillon.llm.toxicity import DISCOUNT, ORDER, KneserNey, Table
 
@@ -79,6 +80,46 @@ def test_kneser_ney_is_its_definition():
         assert abs(diff - want) < 1e-3 and size == len(w) + 1
 
 
+def test_values_by_tasks_are_those_of_the_models(spark, monkeypatch):
+    """Of all words, from all labelled rows, whole: the models of all of them and of either half."""
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 30, raising=False)  # once a bound
+    monkeypatch.setattr(windows, "BLOCK", 70)
+    monkeypatch.setattr(windows, "SLICE", 2000)
+    rng, stock = random.Random(6), [*some_words(300, 7), b"zweitausendundvier", b"abababababababab", "\u00fcber\u00dfa\u65e5\u672c".encode()]
+    texts = [b" ".join(rng.choices(stock, k=rng.randint(0, 30))) for _ in range(120)]
+    texts[5] += b" rare" + b" ab" * 30_000 + b" zork"
+    kinds = [rng.choice([None, 0, 1, 2, 3]) for _ in texts]
+    kinds[5] = 3
+    table = spark.createDataFrame([(t.decode(), k) for t, k in zip(texts, kinds, strict=True)], "text string, kind int").repartition(5)
+    got = {np.uint64(r.key & (1 << 64) - 1): r for r in windows.word_values(table).collect()}
+    known, owner, number = toxicity.distinct_words(texts)
+    assert len(got) == len(known)
+    for name, halves in zip(("all", "h0", "h1"), windows.HALVES, strict=True):
+        of = [np.array([k == 2 * v + h for k in kinds]) for v in (0, 1) for h in halves]
+        sides = [np.bincount(number[np.any(of[v * len(halves) : (v + 1) * len(halves)], axis=0)[owner]], minlength=len(known)).astype(float) for v in (0, 1)]
+        some = np.flatnonzero(sides[0] + sides[1])
+        want = KneserNey([known[k] for k in some], sides[0][some], sides[1][some]).word_values(known)[:, 0]
+        data, starts, ends, _ = windows.spans([b" ".join(known)])
+        for key, value in zip(windows.word_keys(data, starts, ends), want, strict=True):
+            if name == "all" or got[key].learned:
+                assert abs(got[key][name] - value) < 1e-3
+
+
+def test_every_labelled_row_is_learned_from(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 60, raising=False)  # once a bound
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("aeinrst", k=rng.randint(2, 7)))
+    docs = [(i, " ".join([word() for _ in range(30)] + [f"{'zork' if i % 2 else 'calm'}{chr(97 + i // 16)}x"] * 2)) for i in range(400)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.train(table, spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int"))
+    scores = model.scores([t.encode() for _, t in docs])
+    assert ((scores >= toxicity.THRESHOLD) == np.arange(400) % 2).mean() > 0.95
+    data, starts, ends, _ = windows.spans([" ".join(f"zork{chr(97 + k)}x" for k in range(25)).encode()])
+    learned = [any(i // 16 == k and i % 2 and zlib.crc32(str(i).encode()) % 3 != 1 for i in range(400)) for k in range(25)]
+    number, value = model.look_up(data, starts, ends)
+    assert sum(learned) > 20 and (value[number][learned] > 8).all()
+
+
 def test_kneser_ney_sums_to_one():
     words = some_words(60, 4)
     slow = Definition(words, np.ones(len(words)), np.arange(len(words)) % 3)
