@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.functions.analysis import DEFAULT, ENGLISH
 from quillon.operators import index as module
@@ -74,6 +75,21 @@ def test_only_the_buckets_of_the_terms_are_read(both):
     assert "bucket#" in filters and str(module.bucket_of("w1", 5)) in filters and "field#" in filters
 
 
+def test_postings_stay_with_their_documents(spark, tmp_path, monkeypatch):
+    """Only documents are shuffled, so a file has all postings of a range of keys; nulls among terms and repeated words count."""
+    rows = [(i, f"a b a w{i}", ["x", None, "x"] if i % 2 else None) for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, t string, tags array<string>").coalesce(1)
+    monkeypatch.setattr(module, "TASK_BYTES", 100)
+    monkeypatch.setattr(module, "BATCH_ROWS", 7)
+    mapping = Mapping("id", {"t": DEFAULT}, ("tags",))
+    stored = Index(docs, mapping).write(str(tmp_path / "i"), 1)
+    ranges = sorted((min(ids), max(ids)) for ids in (r.ids for r in stored.postings.where("field = 't'").groupBy(F.input_file_name()).agg(F.collect_set("doc_id").alias("ids")).collect()))
+    assert len(ranges) > 3 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:], strict=False))
+    for table in ("postings", "norms", "dictionary"):
+        columns = getattr(Index(docs, mapping), table).columns
+        assert sorted(map(str, getattr(stored, table).select(columns).collect())) == sorted(map(str, getattr(Index(docs, mapping), table).collect())), table
+
+
 def test_null_ids_are_no_documents_and_repeated_ones_are_refused(spark, tmp_path, docs):
     assert result(Index(docs, MAPPING), ast.MatchAll(1.0)) == [(i, 1.0) for i in range(120)]
     twice = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "id long, t string, v long")
