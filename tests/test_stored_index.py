@@ -1,6 +1,7 @@
 """The stored index against the computed one, and the edges of the compiler."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from quillon.operators.index import Index, Mapping, RepeatedKey, latest
 from quillon.operators.ordinals import ordinals
 from quillon.operators.ranking import explain_document
 from quillon.plans import ast
-from quillon.plans.compile import Compiler, coerced
+from quillon.plans.compile import Compiler, coerced, phrase_count
 
 MAPPING = Mapping("id", {"t": DEFAULT, "e": ENGLISH}, ("k", "tags"), ("n",))
 T = lambda v, boost=1.0: ast.Term(boost, "t", v)
@@ -90,6 +91,17 @@ def test_postings_stay_with_their_documents(spark, tmp_path, monkeypatch):
         assert sorted(map(str, getattr(stored, table).select(columns).collect())) == sorted(map(str, getattr(Index(docs, mapping), table).collect())), table
 
 
+def test_phrases_in_a_long_document(spark):
+    """Places are found by bisection: every word of a long document repeated takes no longer than its length."""
+    docs = spark.createDataFrame([(1, "x y z " * 2000), (2, "z y x y z z"), (3, "x"), (4, None), (5, "x z y z")], "id long, t string")
+    began = time.monotonic()
+    got = {slop: result(Index(docs, Mapping("id", {"t": DEFAULT})), ast.Phrase(1.0, "t", "x y z", slop)) for slop in (0, 1)}
+    assert [[d for d, _ in got[k]] for k in (0, 1)] == [[1, 2], [1, 2, 5]] and time.monotonic() - began < 60
+    lists = spark.createDataFrame([([0, 3, 6], [1, 4], [2, 9]), ([0], None, [2]), ([1, 2], [3], [5])], "a array<int>, b array<int>, c array<int>")
+    counts = lambda slop: [r[0] for r in lists.select(phrase_count([F.col(c) for c in "abc"], slop)).collect()]
+    assert counts(0) == [1, 0, 0] and counts(1) == [1, 0, 1] and counts(2) == [1, 0, 2] and counts(4) == [2, 0, 2]
+
+
 def test_null_ids_are_no_documents_and_repeated_ones_are_refused(spark, tmp_path, docs):
     assert result(Index(docs, MAPPING), ast.MatchAll(1.0)) == [(i, 1.0) for i in range(120)]
     twice = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (2, "c", 1)], "id long, t string, v long")
