@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 #: Ids to a block of postings, by their value, so that no term's block grows with the corpus.
 BLOCK_IDS = 1 << 12
+#: Parts into which the terms of a range of ids are dealt; a task encodes a part at once.
+PARTS = 8
+#: Rows to a batch that goes back to Spark.
+BATCH_ROWS = 1 << 16
 
 
 class CorruptBlock(ValueError):
@@ -19,6 +23,11 @@ class CorruptBlock(ValueError):
 
 def vint_encode(values: np.ndarray) -> bytes:
     """Unsigned integers in groups of seven bits, lowest first; the top bit says that another byte follows."""
+    return vint_bytes(values)[0].tobytes()
+
+
+def vint_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all integers, and where each begins and the last ends."""
     v = np.asarray(values, np.uint64)
     size = np.ones(len(v), np.int64)
     for k in range(1, 10):
@@ -29,7 +38,7 @@ def vint_encode(values: np.ndarray) -> bytes:
         at = np.flatnonzero(size > k)
         group = (v[at] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8)
         out[first[at] + k] = group | np.where(size[at] > k + 1, 128, 0).astype(np.uint8)
-    return out.tobytes()
+    return out, np.append(first, len(out))
 
 
 def vint_decode(data: bytes) -> np.ndarray:
@@ -84,21 +93,62 @@ def decode_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(unzigzag(ids)), freqs.astype(np.int64)
 
 
-def encode_postings(postings: DataFrame) -> DataFrame:
-    """(field, term, block, entries, data): the postings in blocks of at most BLOCK_IDS ids."""
-    block = F.floor(F.col("doc_id") / BLOCK_IDS).cast("long")
-    lists = postings.groupBy("field", "term", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("doc_id", "freq"))).alias("list"))
+def encode_blocks(ids: np.ndarray, freqs: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """``encode_block`` of each run of ids; first: where each begins, and the end of the last."""
+    n = np.diff(first)
+    start, size = np.repeat(first[:-1], n), np.repeat(n, n)
+    gaps = np.diff(ids, prepend=0)
+    gaps[first[:-1]] = ids[first[:-1]]
+    at = np.arange(len(ids)) + start
+    values = np.empty(2 * len(ids), np.uint64)
+    values[at], values[at + size] = zigzag(gaps), np.asarray(freqs, np.uint64)
+    data, begin = vint_bytes(values)
+    data, edges = data.tobytes(), begin[2 * first].tolist()
+    bodies = [data[a:z] for a, z in zip(edges, edges[1:], strict=False)]
+    return [zlib.crc32(body).to_bytes(4, "little") + body for body in bodies]
+
+
+def decode_blocks(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and frequencies of blocks, one behind the other, and the entries of each."""
+    if any(len(x) < 4 or zlib.crc32(memoryview(x)[4:]) != int.from_bytes(x[:4], "little") for x in blocks):
+        raise CorruptBlock("the checksum differs")
+    bodies = [x[4:] for x in blocks]
+    if any(body and body[-1] & 128 for body in bodies):
+        raise CorruptBlock("the last integer is cut off")
+    data = b"".join(bodies)
+    numbers = vint_decode(data)
+    ends = np.cumsum([0, *map(len, bodies)])
+    counts = np.diff(np.append(0, np.cumsum(np.frombuffer(data, np.uint8) < 128))[ends])
+    if (counts % 2).any():
+        raise CorruptBlock("an id has no frequency")
+    n = counts // 2
+    first = np.cumsum(n) - n
+    at = np.arange(n.sum()) + np.repeat(first, n)
+    total = np.cumsum(unzigzag(numbers[at]))
+    before = np.append(0, total)[first]
+    return total - np.repeat(before, n), numbers[at + np.repeat(n, n)].astype(np.int64), n
 
-    def step(batches):
-        for b in batches:
-            lists = b.column("list")
-            flat, offsets = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            ids, freqs = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("doc_id", "freq"))
-            spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
-            data = pa.array([encode_block(ids[x:y], freqs[x:y]) for x, y in spans], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("field", "term", "block")], pa.array(np.diff(offsets).astype(np.int64)), data], names=["field", "term", "block", "entries", "data"])
 
-    return lists.mapInArrow(step, "field string, term string, block long, entries long, data binary")
+def encode_postings(postings: DataFrame) -> DataFrame:
+    """(field, term, block, entries, data): the postings in blocks of at most BLOCK_IDS ids."""
+    names = ["field", "term", "block", "entries", "data"]
+
+    def step(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids, freqs = (table.column(c).to_numpy() for c in ("doc_id", "freq"))
+        field, term = (table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("field", "term"))
+        word = field.indices.to_numpy().astype(np.int64) * len(term.dictionary) + term.indices.to_numpy()
+        order = np.lexsort((freqs, ids, word))
+        word = word[order]
+        first = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        data = encode_blocks(ids[order], freqs[order], np.append(first, len(word)))
+        of, what = np.divmod(word[first], len(term.dictionary))
+        blocks = np.full(len(first), ids[0] // BLOCK_IDS)
+        return pa.table([field.dictionary.take(pa.array(of)), term.dictionary.take(pa.array(what)), pa.array(blocks), pa.array(np.diff(np.append(first, len(word)))), pa.array(data, pa.binary())], names=names)
+
+    part = F.floor(F.col("doc_id") / BLOCK_IDS) * PARTS + F.pmod(F.xxhash64("field", "term"), F.lit(PARTS))
+    rows = postings.select(part.cast("long").alias("part"), "field", "term", "doc_id", "freq")
+    return rows.groupBy("part").applyInArrow(step, "field string, term string, block long, entries long, data binary")
 
 
 def decode_postings(blocks: DataFrame) -> DataFrame:
@@ -106,11 +156,10 @@ def decode_postings(blocks: DataFrame) -> DataFrame:
 
     def step(batches):
         for b in batches:
-            got = [decode_block(x) for x in b.column("data").to_pylist()]
-            if not got:
-                continue
-            at = pa.array(np.repeat(np.arange(len(got)), [len(x) for x, _ in got]))
-            numbers = [pa.array(np.concatenate(x), pa.int64()) for x in zip(*got, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("field").take(at), b.column("term").take(at), *numbers], names=["field", "term", "doc_id", "freq"])
+            ids, freqs, n = decode_blocks(b.column("data").to_pylist())
+            at = np.repeat(np.arange(len(n)), n)
+            for k in range(0, len(at), BATCH_ROWS):
+                some, here = pa.array(at[k : k + BATCH_ROWS]), slice(k, k + BATCH_ROWS)
+                yield pa.RecordBatch.from_arrays([b.column("field").take(some), b.column("term").take(some), pa.array(ids[here]), pa.array(freqs[here])], names=["field", "term", "doc_id", "freq"])
 
     return blocks.select("field", "term", "data").mapInArrow(step, "field string, term string, doc_id long, freq long")

@@ -54,3 +54,21 @@ def test_postings_round_trip(spark):
     assert sorted(map(tuple, codec.decode_postings(blocks).collect())) == sorted(rows)
     none = codec.encode_postings(spark.createDataFrame([], "field string, term string, doc_id long, freq long"))
     assert codec.decode_postings(none).count() == 0
+
+
+def test_blocks_of_many_terms_at_once(spark):
+    """All blocks of a part are encoded together, with the bytes of each alone; nothing collects lists."""
+    rng = np.random.default_rng(5)
+    ids = [np.sort(rng.choice(1 << 40, n, replace=False) - (1 << 39)) for n in (1, 3, 40, 2, 7)]
+    freqs = [rng.integers(0, 1 << 35, len(x)) for x in ids]
+    data = codec.encode_blocks(np.concatenate(ids), np.concatenate(freqs), np.cumsum([0, *map(len, ids)]))
+    assert data == [codec.encode_block(x, f) for x, f in zip(ids, freqs, strict=True)]
+    back = codec.decode_blocks(data)
+    assert back[0].tolist() == np.concatenate(ids).tolist() and back[1].tolist() == np.concatenate(freqs).tolist() and back[2].tolist() == [len(x) for x in ids]
+    for bad in (data[2][:-1] + bytes([data[2][-1] ^ 1]), b"123"):
+        with pytest.raises(codec.CorruptBlock):
+            codec.decode_blocks([data[0], bad])
+    frame = spark.createDataFrame([("t", f"w{i % 7}", i * 911, 1) for i in range(100)], "field string, term string, doc_id long, freq long")
+    made = codec.encode_postings(frame)
+    assert "collect_list" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.groupBy().sum("entries").first()[0] == 100 and {(r.term, r.block, r.entries) for r in made.collect()} == {(r.term, r.b, r.n) for r in frame.selectExpr("term", "doc_id div 4096 AS b").groupBy("term", "b").count().withColumnRenamed("count", "n").collect()}
