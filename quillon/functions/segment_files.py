@@ -16,10 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.codec import CorruptBlock, unzigzag, zigzag
+from quillon.functions.codec import BATCH_ROWS, CorruptBlock, unzigzag, vint_bytes, zigzag
 from quillon.structures.words import shared
 
 # Marks and versions of the two formats.
@@ -202,6 +203,99 @@ def write_terms(segment: str, name: str, terms: dict[str, Postings], documents:
     return w
 
 
+def encode_lists(docs: np.ndarray, freqs: np.ndarray, first: np.ndarray, places: np.ndarray | None, begins: np.ndarray | None) -> list[bytes]:
+    """``encode_list`` of each run of documents, on whole arrays.
+
+    first: where each run begins, and the end of the last; places: the
+    positions of all documents, those of the k-th from begins[k] to begins[k + 1].
+    """
+    gaps = np.diff(docs, prepend=0)
+    gaps[first[:-1]] = docs[first[:-1]]
+    sizes = np.diff(begins) if places is not None else np.zeros(len(docs), np.int64)
+    run = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = run + 1 + 2 * np.arange(len(docs)) + np.cumsum(sizes) - sizes  # of a document's gap; a run has its count before it
+    values = np.empty(len(first) - 1 + 2 * len(docs) + int(sizes.sum()), np.int64)
+    heads = at[first[:-1]] - 1
+    values[heads], values[at], values[at + 1] = np.diff(first), gaps, freqs
+    if places is not None:
+        steps = np.diff(places, prepend=0)
+        own = begins[:-1][sizes > 0]
+        steps[own] = places[own]
+        values[np.arange(len(places)) + np.repeat(at + 2 - begins[:-1], sizes)] = steps
+    if len(values) and values.min() < 0:
+        raise ValueError("a variable-length integer can't be negative")
+    data, begin = vint_bytes(values)
+    data, edges = data.tobytes(), begin[np.append(heads, len(values))].tolist()
+    return [data[a:z] for a, z in zip(edges, edges[1:], strict=False)]
+
+
+def term_file(segment: str, name: str, terms: list[str], lists: list[bytes], documents: int) -> bytes:
+    """The bytes of ``write_terms``, closed, from sorted terms and their encoded lists."""
+    w, parts, before = Writer(), [], ""
+    w.put("header", MAGIC + struct.pack(">H", VERSION) + Writer.text(segment) + Writer.text(name) + Writer.vint(len(terms)) + Writer.vint(documents))
+    for term, data in zip(terms, lists, strict=True):
+        n = shared(before, term)
+        parts += (Writer.vint(n), Writer.text(term[n:]), data)
+        before = term
+    w.put("dictionary and postings", b"".join(parts))
+    return w.closed()
+
+
+def read_lists(data: bytes, positions: bool) -> tuple[str, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """(field, terms, documents of each term, all documents, frequencies, positions) of a term file, on whole arrays.
+
+    Every byte under 128 ends an integer, so once all integers are decoded a
+    list is walked by its frequencies; the letters between lists are decoded
+    with them and never looked at.
+    """
+    r = _opened(data)
+    r.text()
+    name, terms, _ = r.text(), r.vint(), r.vint()
+    base = r.at
+    body = r.data[base:]
+    raw = np.frombuffer(body, np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    numbers = np.bitwise_or.reduceat((raw & 127).astype(np.uint64) << (7 * _places(raw)).astype(np.uint64), np.append(0, ends[:-1] + 1)).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    known, places = numbers.tolist(), np.append(-1, ends)
+    words, counts, starts, before = [], [], [], ""
+    try:
+        for _ in range(terms):
+            before = before[: r.vint()] + r.text()
+            count = r.vint()
+            words.append(before)
+            counts.append(count)
+            k = int(np.searchsorted(places, r.at - base - 1))  # the integer that begins here
+            if positions:
+                for _ in range(count):
+                    starts.append(k)
+                    k += 2 + known[k + 1]
+            else:
+                starts += range(k, k + 2 * count, 2)
+                k += 2 * count
+            r.at = base + int(places[k]) + 1
+    except IndexError:
+        raise CorruptBlock("the bytes end early") from None
+    starts, counts = np.array(starts, np.int64), np.array(counts, np.int64)
+    gaps, freqs = numbers[starts], numbers[starts + 1]
+    docs = _totals(gaps, counts)
+    if not positions:
+        return name, words, counts, docs, freqs, None
+    first = np.cumsum(freqs) - freqs
+    return name, words, counts, docs, freqs, _totals(numbers[np.arange(freqs.sum()) + np.repeat(starts + 2 - first, freqs)], freqs)
+
+
+def _places(raw: np.ndarray) -> np.ndarray:
+    """Of each byte its place in its integer; letters of a word may run on beyond the last that counts."""
+    first = np.flatnonzero(np.r_[True, raw[:-1] < 128])
+    return np.minimum(np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw)))), 9)
+
+
+def _totals(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Running sums that begin anew in each run."""
+    total = np.cumsum(steps)
+    return total - np.repeat(np.append(0, total)[np.cumsum(sizes) - sizes], sizes)
+
+
 def _opened(data: bytes) -> Reader:
     found = verify(data)
     if not found["valid"]:
@@ -280,14 +374,21 @@ def term_files(postings: DataFrame, segment: Column, positions: bool = True) ->
 
     def step(table: pa.Table) -> pa.Table:
         number, name = table.column("segment")[0].as_py(), table.column("field")[0].as_py()
-        terms: dict[str, Postings] = {}
-        for r in table.sort_by([("term", "ascending"), ("doc_id", "ascending")]).select(["term", "doc_id", "freq", "positions"]).to_pylist():
-            p = terms.setdefault(r["term"], Postings([], []))
-            p.docs.append(r["doc_id"])
-            p.freqs.append(r["freq"])
-            p.positions.append(r["positions"])
-        documents = len(set(table.column("doc_id").to_pylist()))
-        data = write_terms(f"_{number}", name, terms, documents, positions).closed()
+        coded = table.column("term").combine_chunks().dictionary_encode()
+        docs = table.column("doc_id").to_numpy()
+        rank = np.empty(len(coded.dictionary), np.int64)
+        sorted_ = pc.sort_indices(coded.dictionary).to_numpy()
+        rank[sorted_] = np.arange(len(sorted_))
+        word = rank[coded.indices.to_numpy()]
+        order = np.lexsort((docs, word))
+        word, docs = word[order], docs[order]
+        first = np.append(np.flatnonzero(np.append(True, word[1:] != word[:-1])), len(word))
+        places = begins = None
+        if positions:
+            lists = table.column("positions").take(pa.array(order)).combine_chunks()
+            places, begins = lists.flatten().to_numpy().astype(np.int64), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)))
+        encoded = encode_lists(docs, table.column("freq").to_numpy()[order], first, places, begins)
+        data = term_file(f"_{number}", name, coded.dictionary.take(pa.array(sorted_)).to_pylist(), encoded, len(np.unique(docs)))
         return pa.table({"name": [f"_{number}.{name}.terms"], "content": pa.array([data], pa.binary())})
 
     rows = postings.select(segment.cast("long").alias("segment"), "field", "term", F.col("doc_id").cast("long").alias("doc_id"), "freq", "positions")
@@ -300,13 +401,19 @@ def read_term_files(files: DataFrame, positions: bool = True) -> DataFrame:
     def step(batches):
         for b in batches:
             for name, data in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
-                rows, error = [], None
                 try:
-                    _, of, _, terms = read_terms(data, positions)
-                    rows = [(name, of, t, d, f, p.positions[k] if positions else [], None) for t, p in terms.items() for k, (d, f) in enumerate(zip(p.docs, p.freqs, strict=True))]
+                    of, terms, counts, docs, freqs, places = read_lists(data, positions)
                 except (CorruptBlock, UnicodeDecodeError) as e:
-                    error = str(e)
-                yield pa.RecordBatch.from_pylist([dict(zip(FILE_ROWS.names, r, strict=True)) for r in (rows if error is None else [(name, None, None, None, None, None, error)])], FILE_ROWS)
+                    yield pa.RecordBatch.from_pylist([dict(zip(FILE_ROWS.names, (name, None, None, None, None, None, str(e)), strict=True))], FILE_ROWS)
+                    continue
+                words, word = pa.array(terms, pa.string()), np.repeat(np.arange(len(terms)), counts)
+                begins = np.append(0, np.cumsum(freqs)) if positions else np.zeros(len(docs) + 1, np.int64)
+                places = places if positions else np.zeros(0, np.int64)
+                for a in range(0, len(docs), BATCH_ROWS):
+                    z = min(a + BATCH_ROWS, len(docs))
+                    same = lambda x, n=z - a: pa.array([x], pa.string()).take(pa.array(np.zeros(n, np.int32)))
+                    own = pa.ListArray.from_arrays(pa.array((begins[a : z + 1] - begins[a]).astype(np.int32)), pa.array(places[begins[a] : begins[z]].astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([same(name), same(of), words.take(pa.array(word[a:z])), pa.array(docs[a:z]), pa.array(freqs[a:z]), own, same(None)], schema=FILE_ROWS)
 
     return files.select("name", "content").mapInArrow(step, "name string, field string, term string, doc_id long, freq long, positions array<int>, error string")
 

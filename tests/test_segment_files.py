@@ -4,6 +4,7 @@ import json
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +105,32 @@ def test_segments_as_rows(spark):
     assert [r.name for r in got.where("error IS NOT NULL").collect()] == ["broken"]
 
 
+@pytest.mark.parametrize("positions", [True, False])
+def test_whole_lists_at_once(positions):
+    """A file from whole arrays has the bytes of the plain writer, and is read back whole, with letters beyond ASCII."""
+    rng = random.Random(8)
+    for size in (0, 1, 25):
+        terms = {}
+        for word in {"".join(rng.choices("ab\u00e9\u0436\u6f22z", k=rng.randint(1, 12))) for _ in range(size)}:
+            docs = sorted(rng.sample(range(3000), rng.randint(1, 9)))
+            freqs = [rng.randint(1, 200) for _ in docs]
+            terms[word] = files.Postings(docs, freqs, [sorted(rng.sample(range(100_000), n)) for n in freqs])
+        lists = [terms[w] for w in sorted(terms)]
+        flat = lambda xs: np.array([x for some in xs for x in some], np.int64)
+        docs, freqs, places = flat(p.docs for p in lists), flat(p.freqs for p in lists), flat(x for p in lists for x in p.positions)
+        first, begins = np.cumsum([0, *(len(p.docs) for p in lists)]), np.append(0, np.cumsum(freqs))
+        encoded = files.encode_lists(docs, freqs, first, *((places, begins) if positions else (None, None)))
+        data = files.term_file("_1", "t", sorted(terms), encoded, 9)
+        assert data == files.write_terms("_1", "t", terms, 9, positions).closed()
+        name, words, counts, *back = files.read_lists(data, positions)
+        assert (name, words, counts.tolist()) == ("t", sorted(terms), np.diff(first).tolist())
+        assert back[0].tolist() == docs.tolist() and back[1].tolist() == freqs.tolist() and (back[2].tolist() == places.tolist() if positions else back[2] is None)
+    cut = files.Writer()
+    cut.put("all", data[:-30])
+    with pytest.raises((CorruptBlock, UnicodeDecodeError)):
+        files.read_lists(cut.closed(), positions)
+
+
 def test_stores_keep_the_last_version(spark):
     old = spark.createDataFrame([("a", 1), ("b", 1), (None, 1), ("c", 1)], "id string, n int")
     new = spark.createDataFrame([("b", 2), ("d", 2)], "id string, n int")
