@@ -161,3 +161,18 @@ def test_regions():
     assert a.intersects(b) and b.intersects(a) and not b.intersects(c)
     assert a.contains(c) and not c.contains(a) and a.contains(a)
     assert a.has(np.array([[2.0, 2.0], [2.1, 0.0]])).tolist() == [True, False]
+
+
+def test_blocks_are_taken_in_runs(spark, monkeypatch):
+    """A row a block, from as many calls into Python as there are runs of blocks."""
+    from quillon import structure_queries as module
+
+    monkeypatch.setattr(module, "GROUP", 4)
+    rows = spark.createDataFrame([(f"w{i:03}", i, i // 16) for i in range(150)], "term string, ordinal long, block long").repartition(5)
+
+    def of(some, first):
+        return {"first": some[0], "n": len(some), "at": first}
+
+    made = module._by_block(rows, of, "block long, first string, n long, at long")
+    assert sorted(map(tuple, made.collect())) == [(b, f"w{16 * b:03}", min(16, 150 - 16 * b), 16 * b) for b in range(10)]
+    assert "group#" in made._jdf.queryExecution().executedPlan().toString()
