@@ -233,9 +233,15 @@ def term_file(segment: str, name: str, terms: list[str], lists: list[bytes], doc
     """The bytes of ``write_terms``, closed, from sorted terms and their encoded lists."""
     w, parts, before = Writer(), [], ""
     w.put("header", MAGIC + struct.pack(">H", VERSION) + Writer.text(segment) + Writer.text(name) + Writer.vint(len(terms)) + Writer.vint(documents))
+    short = [bytes([k]) for k in range(128)]
     for term, data in zip(terms, lists, strict=True):
-        n = shared(before, term)
-        parts += (Writer.vint(n), Writer.text(term[n:]), data)
+        n = 0
+        for x, y in zip(before, term):  # noqa: B905
+            if x != y:
+                break
+            n += 1
+        rest = term[n:].encode()
+        parts += (short[n] if n < 128 else Writer.vint(n), short[len(rest)] if len(rest) < 128 else Writer.vint(len(rest)), rest, data)
         before = term
     w.put("dictionary and postings", b"".join(parts))
     return w.closed()
@@ -256,15 +262,20 @@ def read_lists(data: bytes, positions: bool) -> tuple[str, list[str], np.ndarray
     raw = np.frombuffer(body, np.uint8)
     ends = np.flatnonzero(raw < 128)
     numbers = np.bitwise_or.reduceat((raw & 127).astype(np.uint64) << (7 * _places(raw)).astype(np.uint64), np.append(0, ends[:-1] + 1)).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    known, places = numbers.tolist(), np.append(-1, ends)
-    words, counts, starts, before = [], [], [], ""
+    known, after = numbers.tolist(), (ends + 1).tolist()  # each integer and the byte behind it
+    words, counts, starts, before, k = [], [], [], "", 0  # k: the integer that is next
     try:
         for _ in range(terms):
-            before = before[: r.vint()] + r.text()
-            count = r.vint()
+            at = after[k + 1]
+            rest = body[at : at + known[k + 1]]
+            if len(rest) < known[k + 1]:
+                raise IndexError
+            before = before[: known[k]] + rest.decode()
+            k += 2 + (len(rest) if rest.isascii() else sum(x < 128 for x in rest))
+            count = Reader(body, at + len(rest)).vint() if rest and rest[-1] > 127 else known[k]  # the last letter would run into it
+            k += 1
             words.append(before)
             counts.append(count)
-            k = int(np.searchsorted(places, r.at - base - 1))  # the integer that begins here
             if positions:
                 for _ in range(count):
                     starts.append(k)
@@ -272,7 +283,8 @@ def read_lists(data: bytes, positions: bool) -> tuple[str, list[str], np.ndarray
             else:
                 starts += range(k, k + 2 * count, 2)
                 k += 2 * count
-            r.at = base + int(places[k]) + 1
+            if k > len(known):
+                raise IndexError
     except IndexError:
         raise CorruptBlock("the bytes end early") from None
     starts, counts = np.array(starts, np.int64), np.array(counts, np.int64)
