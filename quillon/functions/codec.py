@@ -29,29 +29,43 @@ def vint_encode(values: np.ndarray) -> bytes:
 def vint_bytes(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all integers, and where each begins and the last ends."""
     v = np.asarray(values, np.uint64)
-    size = np.ones(len(v), np.int64)
-    for k in range(1, 10):
-        size += v >= np.uint64(1) << np.uint64(7 * k)
+    size, more = np.ones(len(v), np.int64), []
+    at = np.flatnonzero(v > np.uint64(127))
+    while len(at):  # of the values that go on, ever fewer
+        size[at] += 1
+        more.append(at)
+        at = at[v[at] >> np.uint64(7 * len(more)) > np.uint64(127)]
     first = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint8)
-    for k in range(int(size.max(initial=0))):
-        at = np.flatnonzero(size > k)
-        group = (v[at] >> np.uint64(7 * k) & np.uint64(127)).astype(np.uint8)
-        out[first[at] + k] = group | np.where(size[at] > k + 1, 128, 0).astype(np.uint8)
+    out[first] = v & np.uint64(127)
+    for k, at in enumerate(more, 1):
+        out[first[at] + k - 1] |= 128
+        out[first[at] + k] = v[at] >> np.uint64(7 * k) & np.uint64(127)
     return out, np.append(first, len(out))
 
 
+def vint_values(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The integers whose last bytes are at ``ends``, of ten bytes each at most: what lies beyond doesn't count."""
+    first = np.append(0, ends[:-1] + 1)
+    out = (raw[first] & 127).astype(np.uint64)
+    at, k = np.flatnonzero(ends > first), 1
+    while len(at) and k < 10:
+        out[at] |= (raw[first[at] + k] & 127).astype(np.uint64) << np.uint64(7 * k)
+        k += 1
+        at = at[ends[at] - first[at] >= k]
+    return out
+
+
 def vint_decode(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
         return np.zeros(0, np.uint64)
     if raw[-1] & 128:
         raise CorruptBlock("the last integer is cut off")
-    first = np.flatnonzero(np.r_[True, raw[:-1] < 128])
-    place = np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw))))
-    if place.max() > 9:
+    ends = np.flatnonzero(raw < 128)
+    if np.diff(ends, prepend=-1).max() > 10:
         raise CorruptBlock("an integer of more than 64 bits")
-    return np.bitwise_or.reduceat((raw & 127).astype(np.uint64) << (7 * place).astype(np.uint64), first)
+    return vint_values(raw, ends)
 
 
 def zigzag(values: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.functions.codec import BATCH_ROWS, CorruptBlock, unzigzag, vint_bytes, zigzag
+from quillon.functions.codec import BATCH_ROWS, CorruptBlock, unzigzag, vint_bytes, vint_values, zigzag
 from quillon.structures.words import shared
 
 # Marks and versions of the two formats.
@@ -261,7 +261,7 @@ def read_lists(data: bytes, positions: bool) -> tuple[str, list[str], np.ndarray
     body = r.data[base:]
     raw = np.frombuffer(body, np.uint8)
     ends = np.flatnonzero(raw < 128)
-    numbers = np.bitwise_or.reduceat((raw & 127).astype(np.uint64) << (7 * _places(raw)).astype(np.uint64), np.append(0, ends[:-1] + 1)).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
+    numbers = vint_values(raw, ends).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
     known, after = numbers.tolist(), (ends + 1).tolist()  # each integer and the byte behind it
     words, counts, starts, before, k = [], [], [], "", 0  # k: the integer that is next
     try:
@@ -296,12 +296,6 @@ def read_lists(data: bytes, positions: bool) -> tuple[str, list[str], np.ndarray
     return name, words, counts, docs, freqs, _totals(numbers[np.arange(freqs.sum()) + np.repeat(starts + 2 - first, freqs)], freqs)
 
 
-def _places(raw: np.ndarray) -> np.ndarray:
-    """Of each byte its place in its integer; letters of a word may run on beyond the last that counts."""
-    first = np.flatnonzero(np.r_[True, raw[:-1] < 128])
-    return np.minimum(np.arange(len(raw)) - np.repeat(first, np.diff(np.append(first, len(raw)))), 9)
-
-
 def _totals(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Running sums that begin anew in each run."""
     total = np.cumsum(steps)
