@@ -262,7 +262,7 @@ def read_lists(data: bytes, positions: bool) -> tuple[str, list[str], np.ndarray
     raw = np.frombuffer(body, np.uint8)
     ends = np.flatnonzero(raw < 128)
     numbers = vint_values(raw, ends).astype(np.int64) if len(ends) else np.zeros(0, np.int64)
-    known, after = numbers.tolist(), (ends + 1).tolist()  # each integer and the byte behind it
+    known, after = memoryview(numbers), memoryview(ends + 1)  # each integer and the byte behind it, not as lists of objects
     words, counts, starts, before, k = [], [], [], "", 0  # k: the integer that is next
     try:
         for _ in range(terms):
@@ -394,7 +394,9 @@ def term_files(postings: DataFrame, segment: Column, positions: bool = True) ->
             lists = table.column("positions").take(pa.array(order)).combine_chunks()
             places, begins = lists.flatten().to_numpy().astype(np.int64), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)))
         encoded = encode_lists(docs, table.column("freq").to_numpy()[order], first, places, begins)
-        data = term_file(f"_{number}", name, coded.dictionary.take(pa.array(sorted_)).to_pylist(), encoded, len(np.unique(docs)))
+        terms, documents = coded.dictionary.take(pa.array(sorted_)).to_pylist(), len(np.unique(docs))
+        del coded, table, order, word, docs, first, places, begins
+        data = term_file(f"_{number}", name, terms, encoded, documents)
         return pa.table({"name": [f"_{number}.{name}.terms"], "content": pa.array([data], pa.binary())})
 
     rows = postings.select(segment.cast("long").alias("segment"), "field", "term", F.col("doc_id").cast("long").alias("doc_id"), "freq", "positions")
